@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import packing, simhash, telephony, tokencount
+from glyphmill.llm import langid, mixing, packing, simhash, telephony, tokencount
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,11 +35,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+@registered
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 @registered
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1)
 
 
+@registered
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 @registered
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_features(telephony.text_media(read(spark, sf_dir, "documents")))
