@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphmill.llm import langid, mixing, packing, simhash, telephony, tokencount
+from glyphmill.llm import langid, mixing, neighbours, packing, simhash, telephony, tokencount, urls, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,11 +36,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+@registered
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @registered
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+@registered
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.seed_labels(spark))
+
+
 @registered
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1)
@@ -50,6 +61,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+@registered
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.describe(warc.derive(warc.responses(read(spark, sf_dir, "pages"))))
+
+
 @registered
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_features(telephony.text_media(read(spark, sf_dir, "documents")))
