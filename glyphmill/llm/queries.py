@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import langid, mixing, neighbours, packing, simhash, telephony, tokencount, urls, warc
+from glyphmill.llm import langid, mixing, neighbours, packing, simhash, substring, telephony, tokencount, urls, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@registered
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(read(spark, sf_dir, "documents")).drop("tag")
+
+
 @registered
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
