@@ -20,7 +20,9 @@ empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -32,8 +34,20 @@ from pyspark.sql import DataFrame
 from glyphmill.llm.common import small_batches, with_text
 
 TIERS = (2048, 1024, 512, 256)
-#: Units that a worker remembers; beyond, the memo starts anew.
-MEMO = 300_000
+#: Units that a worker remembers in each of two generations; when the young one is full it becomes the old one.
+MEMO = 400_000
+#: A word of Latin letters and ASCII marks (no apostrophe): two pre-tokens of the byte-level pattern, whatever Unicode version it knows.
+PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_chars() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(others)}
+
+
+BYTE_CHARS = byte_chars()
 #: Pieces that wait to be packed; beyond, the waiting ones are packed.
 WAITING = 4000
 _encoders: dict[str, "UnitEncoder"] = {}
@@ -46,7 +60,10 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "UnitEncoder":
@@ -67,19 +84,41 @@ class UnitEncoder:
                 open_ = part[-1].isspace()
         return out
 
+    def word(self, text: str) -> bytes:
+        """Ids of one pre-token, straight from the library's model."""
+        found = self.words.get(text)
+        if found is None:
+            if len(self.words) > MEMO:
+                self.words.clear()
+            tokens = self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(BYTE_CHARS))
+            found = self.words[text] = array("I", [t.id for t in tokens]).tobytes()
+        return found
+
+    def learn(self, units: set[str]) -> None:
+        """Put the units' ids into the young memo: from the old one, by pre-tokens where the unit is plainly a word and marks, else by the library as a whole."""
+        young, old, word, rest = self.young, self.old, self.word, []
+        for unit in units:
+            found = old.get(unit)
+            if found is None:
+                plain = PLAIN.fullmatch(unit)
+                if plain is None:
+                    rest.append(unit)
+                    continue
+                found = word(plain[1]) + word(plain[2]) if plain[2] else word(plain[1])
+            young[unit] = found
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                young[unit] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.units(t) if t else [] for t in texts]
-        memo = self.memo
-        fresh = list({u for c in cut for u in c if u not in memo})
-        if len(memo) + len(fresh) > MEMO:
-            memo = {u: memo[u] for c in cut for u in c if u in memo}  # what these texts need
-        known = dict(memo)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[unit] = np.array(e.ids, "<u4").tobytes()
-        self.memo = known if len(known) <= MEMO else {}
-        return [b"".join([known[u] for u in c]) for c in cut]
+        young = self.young
+        self.learn({u for c in cut for u in c if u not in young})
+        out = [b"".join([young[u] for u in c]) for c in cut]
+        if len(young) > MEMO:
+            self.young, self.old = {}, young
+        return out
 
 
 class Packer:
@@ -88,8 +127,8 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int) -> None:
         self.tiers, self.top = sorted(tiers, reverse=True), max(tiers)
         self.waiting: dict[int, deque] = defaultdict(deque)  # by tier
-        self.count, self.next_id, self.step_tokens, self.packed = 0, first_id, step_tokens, 0
-        self.first_id = first_id
+        self.count, self.tokens = 0, 0  # of what waits
+        self.first_id, self.next_id, self.step_tokens, self.packed = first_id, first_id, step_tokens, 0
         self.done: list[tuple] = []
 
     def add(self, doc: int, tokens: int) -> None:
@@ -102,6 +141,7 @@ class Packer:
             tier = min(t for t in self.tiers if t >= left)
             self.waiting[tier].append((doc, start, left))
             self.count += 1
+            self.tokens += left
 
     def emit(self, pieces: list[tuple], tier: int) -> None:
         offset = 0
@@ -125,7 +165,7 @@ class Packer:
     def pack(self, last: bool) -> None:
         """Pack what waits; but for the last call, stop when too little is left to fill a window."""
         while self.count:
-            if not last and sum(p[2] for q in self.waiting.values() for p in list(q)[:64]) < 2 * self.top:
+            if not last and self.tokens < 2 * self.top:
                 return
             pieces, room = [], self.top
             while room:
@@ -142,6 +182,7 @@ class Packer:
                     length = room
                 pieces.append((doc, start, length))
                 room -= length
+            self.tokens -= self.top - room
             if room:
                 self.in_powers(pieces)
             else:
