@@ -62,9 +62,10 @@ def correct_number(token: Column, config: Config = DEFAULT) -> Column:
     whole = F.when(F.abs(value) < 1e15, value.cast("long"))
     exact = _token(token, whole.cast("string"), "number", F.lit(1.0), F.lit(0))
     numbers = F.sequence(F.lit(config.low), F.lit(config.high))
-    near = F.array_min(F.transform(numbers, lambda n: F.struct((-similarity(token, n.cast("string"))).alias("s"), F.levenshtein(token, n.cast("string")).alias("d"), n.alias("n"))))
-    fuzzy = F.when(-near["s"] >= config.similarity, _token(token, near["n"].cast("string"), "number", -near["s"], near["d"]))
-    return F.when(whole.between(config.low, config.high), exact).otherwise(fuzzy)
+    best = F.array_min(F.transform(numbers, lambda n: F.struct((-similarity(token, n.cast("string"))).alias("s"), F.levenshtein(token, n.cast("string")).alias("d"), n.alias("n"))))
+    fuzzy = let(best, lambda near: F.when(-near["s"] >= config.similarity, _token(token, near["n"].cast("string"), "number", -near["s"], near["d"])))
+    # without a digit nothing is shared with any number, and the similarity is 0
+    return F.when(whole.between(config.low, config.high), exact).when(token.rlike(r"\d"), fuzzy)
 
 
 def correct_operator(token: Column, config: Config = DEFAULT) -> Column:

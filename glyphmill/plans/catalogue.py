@@ -186,9 +186,6 @@ def cer_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy(D.quality_band(F.col("cer")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(D.accuracy(F.col("cer"))), 6).alias("accuracy"))
 
 
-LETTERED = "list_aggregate(list_transform({0}, lambda w: chr(CAST(19968 + list_position(k, w) AS INT))), 'string_agg', '')"
-
-
 @query()
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r = F.col("prediction"), F.col("reference")
@@ -301,16 +298,16 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))
 
 
-@query(f"SELECT page, count_if(tag = 'ACCEPTED') AS accepted, count_if(tag = 'RETRY_REQUIRED') AS retry, count_if(tag = 'FAILED_EXTRACTION') AS failed, round(coalesce(avg(composite) FILTER (tag <> 'FAILED_EXTRACTION'), 0.0), 3) AS overall FROM (SELECT id // 100 AS page, * FROM {composite_sql(EQUATIONS)}) GROUP BY 1")
+@query(f"SELECT page, count_if(tag = 'ACCEPTED') AS accepted, count_if(tag = 'RETRY_REQUIRED') AS retry, count_if(tag = 'FAILED_EXTRACTION') AS failed, round(coalesce(avg(composite) FILTER (tag <> 'FAILED_EXTRACTION'), 0.0), 4) AS overall FROM (SELECT id // 100 AS page, * FROM {composite_sql(EQUATIONS)}) GROUP BY 1")
 def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(equations(spark, sf_dir)).select(F.expr("id div 100").alias("page"), "tag", F.col("composite").alias("confidence"))
-    return metrics.page_summary(rows, "page").withColumn("overall", F.round("overall", 3))
+    return metrics.page_summary(rows, "page")
 
 
-@query(rf"SELECT doc_id, len(regexp_extract_all(text, '{NUM}', 1)) AS n_numbers, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '{NUM}', 1), lambda v: CAST(v AS DOUBLE))), 0), 2) AS total FROM documents")
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '{NUM}', 1)) AS n_numbers, list_max(list_transform(regexp_extract_all(text, '{NUM}', 1), lambda v: CAST(v AS DOUBLE))) AS largest FROM documents")
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", C.numbers(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.size("v").alias("n_numbers"), F.round(A.total(F.col("v")), 2).alias("total"))
+    return rows.select("doc_id", F.size("v").alias("n_numbers"), F.array_max("v").alias("largest"))
 
 
 @query(r"SELECT id, CAST(regexp_matches(text, '[+\-*/=]') AS INT) + CAST(regexp_matches(text, '\b[0-9]+\b.*\b[0-9]+\b') AS INT) + CAST(regexp_matches(text, '\b(sum|mean|total|avg)\b', 'i') AS INT) >= 2 AS is_math FROM (" + EQUATIONS + ")")
@@ -459,9 +456,6 @@ def merge_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.merge_broken(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-REPEATED = f"(len(list_filter(range(1, len(string_split(text, '')) - 3), lambda i: string_split(text, '')[i] <> chr(10) AND string_split(text, '')[i] = string_split(text, '')[i + 1] AND string_split(text, '')[i] = string_split(text, '')[i + 2] AND string_split(text, '')[i] = string_split(text, '')[i + 3] AND string_split(text, '')[i] = string_split(text, '')[i + 4])) > 0)"
-
-
 @query(f"SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])) > 0 OR len(list_filter(range(1, len(c) - 3), lambda i: c[i] <> chr(10) AND c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3] AND c[i] = c[i + 4])) > 0 AS repeated FROM (SELECT doc_id, {words_sql('lower(text)')} AS w, string_split(text, '') AS c FROM documents)")
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.has_repetition(F.col("text")).alias("repeated"))
