@@ -36,8 +36,8 @@ from glyphmill.llm.common import small_batches, with_text
 TIERS = (2048, 1024, 512, 256)
 #: Units that a worker remembers in each of two generations; when the young one is full it becomes the old one.
 MEMO = 400_000
-#: A word of Latin letters and ASCII marks (no apostrophe): two pre-tokens of the byte-level pattern, whatever Unicode version it knows.
-PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Pre-tokens of the byte-level pattern, whatever Unicode version it knows: Latin letters, ASCII digits and marks (no apostrophe), and a line end before something else.
+PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
 
 
 def byte_chars() -> dict[int, int]:
@@ -48,6 +48,7 @@ def byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = byte_chars()
+DOUBLE = re.compile(r"\s\s")
 #: Pieces that wait to be packed; beyond, the waiting ones are packed.
 WAITING = 4000
 _encoders: dict[str, "UnitEncoder"] = {}
@@ -73,14 +74,17 @@ class UnitEncoder:
 
     @staticmethod
     def units(text: str) -> list[str]:
+        """The text's units; all but the first without their leading space."""
         parts = text.split(" ")
+        if not DOUBLE.search(text):
+            return parts
         out, open_ = [parts[0]], not parts[0] or parts[0][-1].isspace()
         for part in parts[1:]:
             if open_ or not part or part[0].isspace():  # in or beside a longer run of white space
                 out[-1] += " " + part
                 open_ = not part or part[-1].isspace()
             else:
-                out.append(" " + part)
+                out.append(part)
                 open_ = part[-1].isspace()
         return out
 
@@ -94,31 +98,27 @@ class UnitEncoder:
             found = self.words[text] = array("I", [t.id for t in tokens]).tobytes()
         return found
 
-    def learn(self, units: set[str]) -> None:
-        """Put the units' ids into the young memo: from the old one, by pre-tokens where the unit is plainly a word and marks, else by the library as a whole."""
-        young, old, word, rest = self.young, self.old, self.word, []
-        for unit in units:
-            found = old.get(unit)
-            if found is None:
-                plain = PLAIN.fullmatch(unit)
-                if plain is None:
-                    rest.append(unit)
-                    continue
-                found = word(plain[1]) + word(plain[2]) if plain[2] else word(plain[1])
-            young[unit] = found
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                young[unit] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(t) if t else [] for t in texts]
-        young = self.young
-        self.learn({u for c in cut for u in c if u not in young})
-        out = [b"".join([young[u] for u in c]) for c in cut]
+    def whole(self, unit: str) -> bytes:
+        """Ids of one unit: by pre-tokens where these are plain (and no added token can be in it), else by the library."""
+        parts = PLAIN.findall(unit)
+        if "<|" in unit or "".join(parts) != unit:
+            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.word, parts))
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        first, *rest = self.units(text)
+        young, old = self.young, self.old
+        found, at = list(map(young.get, rest)), -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            unit = rest[at]
+            ids = young.get(unit) or old.get(unit) or self.whole(" " + unit)
+            young[unit] = found[at] = ids
         if len(young) > MEMO:
             self.young, self.old = {}, young
-        return out
+        return (self.whole(first) if first else b"") + b"".join(found)
 
 
 class Packer:
@@ -232,7 +232,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
         for batch in batches:
             id_arrow = batch.schema.field("doc_id").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, texts), strict=True):
                 ids += end
                 held[number] = [doc_id, ids, len(ids) // 4]
                 packer.add(number, len(ids) // 4)
