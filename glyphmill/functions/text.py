@@ -51,8 +51,8 @@ def balance_braces(latex: Column) -> Column:
 def cleanup_latex(latex: Column) -> Column:
     out = balance_braces(stripped(latex))
     for command, after in (("frac", "{"), ("sqrt", "{"), ("sum", "_"), ("int", "_"), ("lim", "_")):
-        out = F.regexp_replace(out, rf"(?U)\\{command}\s+" + ("\\{" if after == "{" else after), rf"\\\\{command}" + after)
-    out = F.regexp_replace(out, r"(?U)\\\s+", r"\\\\")
+        out = F.regexp_replace(out, rf"(?U)\\{command}\s+" + ("\\{" if after == "{" else after), rf"\\{command}" + after)
+    out = F.regexp_replace(out, r"(?U)\\\s+", r"\\")
     return F.regexp_replace(F.regexp_replace(out, r"(?U)\{\s+", "{"), r"(?U)\s+\}", "}")
 
 
@@ -62,7 +62,7 @@ def postprocess_latex(latex: Column) -> Column:
     out = F.when(out.startswith("$") & out.endswith("$"), F.when(F.length(out) > 1, out.substr(F.lit(2), F.length(out) - 2)).otherwise("")).otherwise(out)
     more = count_of(out, "{") - count_of(out, "}")
     out = F.concat(F.when(more < 0, F.repeat(F.lit("{"), -more)).otherwise(""), out, F.when(more > 0, F.repeat(F.lit("}"), more)).otherwise(""))
-    return F.regexp_replace(F.regexp_replace(out, r"(?U)\\frac\s*\{", r"\\\\frac{"), r"(?U)\\sqrt\s*\{", r"\\\\sqrt{")
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)\\frac\s*\{", r"\\frac{"), r"(?U)\\sqrt\s*\{", r"\\sqrt{")
 
 
 def format_math(latex: Column, display: Column) -> Column:

@@ -115,14 +115,14 @@ def transcribed_images(spark: SparkSession, transcription: str, images: str) ->
 
 def text_files(spark: SparkSession, folder: str, images: str | None = None) -> DataFrame:
     """(stem, text) of whole .txt files, trimmed, blank ones dropped; only those with an image, if images are given."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     out = raw.select(stem(F.col("_metadata.file_path")).alias("stem"), F.trim(F.regexp_replace("value", r"^\s+|\s+\z", "")).alias("text")).filter("text <> ''")
     return out.join(listing(spark, images, "*.png").select("stem"), "stem", "left_semi") if images else out
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(idx, text): the lines of one file by their number from 0."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n")).alias("idx", "text"))
 
 
@@ -176,7 +176,7 @@ def word_polygons(spark: SparkSession, folder: str) -> DataFrame:
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(word) from a JSON list, a JSON object with `words`, or one word on each line."""
     if path.endswith(".json"):
-        whole = spark.read.option("wholetext", "true").text(path)
+        whole = spark.read.text(path, wholetext=True)
         listed = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "struct<words:array<string>>")["words"])
         raw = whole.select(F.explode(F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(listed)).alias("word"))
     else:

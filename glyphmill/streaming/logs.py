@@ -27,7 +27,7 @@ def first_requests(requests: DataFrame, sha: str = "sha", ts: str = "ts", late:
 
 def job_files(spark: SparkSession, folder: str, pattern: str = "*", per_batch: int = 100) -> DataFrame:
     """(path, length, modificationTime, content) of files as they arrive: the queue of jobs."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", str(per_batch)).load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", str(per_batch)).load(folder)
 
 
 def process_jobs(jobs: DataFrame, work, results: str, checkpoint: str):
