@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions import let
+
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(*[v.cast("int").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2), strict=True)])
@@ -86,3 +88,17 @@ def detector_label(cls: Column, b: Column, page_width: int, page_height: int) ->
     """A label line: class, centre and size in shares of the page, six decimals."""
     shares = (center_x(b) / page_width, center_y(b) / page_height, width(b) / page_width, height(b) / page_height)
     return F.format_string("%d %.6f %.6f %.6f %.6f", cls, *[F.bround(x, 6) for x in shares])  # ties to even, as in C
+
+
+def scaled_traces(traces: Column, target: int = 256, margin: int = 20) -> Column:
+    """struct(traces, width): pen points moved to the margin and scaled so that the writing fits the height."""
+    xs = F.flatten(F.transform(traces, lambda t: F.transform(t, lambda p: p["x"])))
+    ys = F.flatten(F.transform(traces, lambda t: F.transform(t, lambda p: p["y"])))
+    frame = F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), ((target - 2 * margin) / F.greatest(F.array_max(ys) - F.array_min(ys), F.lit(1.0))).alias("k"))
+
+    def moved(s: Column) -> Column:
+        f = s["f"]
+        point = lambda p: F.struct(((p["x"] - f["x"]) * f["k"] + margin).alias("x"), ((p["y"] - f["y"]) * f["k"] + margin).alias("y"))
+        return F.struct(F.transform(s["t"], lambda t: F.transform(t, point)).alias("traces"), (f["w"] * f["k"] + 2 * margin).cast("int").alias("width"))
+
+    return let(F.struct(traces.alias("t"), frame.alias("f")), moved)

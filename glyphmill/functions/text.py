@@ -169,3 +169,18 @@ def label_of(latex: Column) -> Column:
 def image_bytes(data: Column) -> Column:
     """Bytes of base64 text or of a data URI; null if it can't be decoded."""
     return F.try_to_binary(F.when(data.contains(","), F.regexp_replace(data, r"(?s)^[^,]*,", "")).otherwise(data), F.lit("base64"))
+
+
+def postprocess(text: Column, math: bool = False, markup: bool = False) -> Column:
+    """struct(text, artifacts_removed, latex_cleaned, math_normalized): the cleaning steps of one line, in order."""
+    clean = remove_artifacts(text)
+    bare = strip_markup(clean) if markup and not math else clean
+    done = normalize_math(bare) if math else bare
+    return F.struct(done.alias("text"), (clean != text).alias("artifacts_removed"), (bare != clean).alias("latex_cleaned"), F.lit(math).alias("math_normalized"))
+
+
+def checked(text: Column, vocabulary: Column | None = None, reject: bool = False) -> Column:
+    """struct(original, corrected, plausible, confidence): typos fixed; an implausible text becomes empty if such are rejected."""
+    judged = plausibility(text, vocabulary)
+    fixed = fix_typos(text)
+    return F.struct(text.alias("original"), (F.when(judged["plausible"], fixed).otherwise("") if reject else fixed).alias("corrected"), judged["plausible"].alias("plausible"), judged["confidence"].alias("confidence"))

@@ -48,3 +48,11 @@ def log_elapsed(df: DataFrame, run: str, ts: str) -> DataFrame:
     """elapsed: seconds since the run's first entry."""
     seconds = F.col(ts).cast("timestamp").cast("double")
     return df.withColumn("elapsed", F.round(seconds - F.min(seconds).over(W.partitionBy(run)), 3))
+
+
+def synthesized_line(words: DataFrame, line: str, order: str, width: str, height: str, gap: int = 20, spread: int = 31, seed: int = 42) -> DataFrame:
+    """words with x and y where they stand on a line's canvas, and its size: gaps of gap to gap + spread - 1 by hash, words centred vertically."""
+    step = F.col(width) + gap + F.pmod(F.xxhash64(line, order, F.lit(seed)), F.lit(spread)).cast("int")
+    every, before = W.partitionBy(line), W.partitionBy(line).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    placed = words.withColumn("x", F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int")).withColumn("canvas_height", F.max(height).over(every))
+    return placed.withColumn("canvas_width", F.max(F.col("x") + F.col(width)).over(every)).withColumn("y", F.floor((F.col("canvas_height") - F.col(height)) / 2).cast("int"))

@@ -16,7 +16,7 @@ from glyphmill.functions import distance as D
 from glyphmill.functions import geometry as G
 from glyphmill.functions import routing as R
 from glyphmill.functions import text as X
-from glyphmill.operators import decoding, documents, layout, lexicon, lines, manifest, metrics, spans
+from glyphmill.operators import decoding, documents, layout, lexicon, lines, manifest, metrics, recognizers, spans
 from glyphmill.operators.arithmetic import arithmetic_results
 from glyphmill.session import table
 from glyphmill.streaming import logs
@@ -370,6 +370,21 @@ def route_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_id", R.profile(F.col("blur"), F.col("contrast")).alias("profile"), R.decide(F.col("math"), arithmetic, blank, every)["engine"].alias("engine"), R.smart_route(F.col("math"), arithmetic, every).alias("smart"))
 
 
+@query("SELECT event_id, CASE kind WHEN 'text' THEN 'printed' WHEN 'equation' THEN 'formula' WHEN 'handwriting' THEN 'handwriting' END AS engine, CASE WHEN tc < 0.4 AND fc > tc AND NOT bad THEN 'f' ELSE 't' END AS chosen, CASE WHEN tc >= 0.85 THEN 'accepted' WHEN tc >= 0.65 THEN 'retry' ELSE 'failed' END AS badge FROM (SELECT event_id, ['text', 'equation', 'handwriting', 'odd'][event_id % 4 + 1] AS kind, (event_id % 10) / 10.0 AS tc, (event_id * 3 % 10) / 10.0 AS fc, event_id % 7 = 0 AS bad FROM events)")
+def region_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text", "equation", "handwriting", "odd")]), (e % 4 + 1).cast("int"))
+    rows = recognizers.route_regions(table(spark, sf_dir, "events").select("event_id", kind.alias("type"), ((e % 10) / 10.0).alias("tc"), ((e * 3 % 10) / 10.0).alias("fc"), (e % 7 == 0).alias("bad")))
+    chosen = R.reroute(F.lit("t"), F.col("tc"), F.lit("f"), F.col("fc"), F.col("bad"), F.lit(False))
+    return rows.select("event_id", "engine", chosen["text"].alias("chosen"), R.badge(C.classify(F.col("tc"))).alias("badge"))
+
+
+@query("SELECT p_partkey, round(least(640 / h, 640 / w), 6) AS ratio, CAST(ceil(h / 32) * 32 AS INT) AS padded, CASE WHEN h < 100 THEN round(300 / 72, 6) WHEN h < 200 THEN 1.5 ELSE 1.0 END AS scale FROM (SELECT p_partkey, CAST(p_size * 20 + 1 AS INT) AS h, CAST(p_size * 7 + 3 AS INT) AS w FROM part)")
+def image_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 20 + 1).alias("h"), (F.col("p_size") * 7 + 3).alias("w"))
+    return rows.select("p_partkey", F.round(G.letterbox(F.col("w"), F.col("h"))["ratio"], 6).alias("ratio"), G.stride_padded(F.col("h")).alias("padded"), F.round(G.resolution_scale(F.col("h")), 6).alias("scale"))
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 ARTIFACTS = strip_sql(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{S}*#{S}*', ' ', 'g'), '([.!?,;:]){{3,}}', '\\1', 'g'), '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}#*\\-_=]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}#*\\-_=]+$', ''), '{S}+', ' ', 'g')")
@@ -461,6 +476,12 @@ def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.has_repetition(F.col("text")).alias("repeated"))
 
 
+@query(f"WITH w AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM w) SELECT doc_id, count(*) AS n_words, CAST(sum(o) AS BIGINT) AS offsets FROM (SELECT doc_id, place, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p) GROUP BY 1")
+def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.word_offsets(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("offset").alias("offsets"))
+
+
 @query()
 def plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", X.plausibility(F.col("text")).alias("p"))

@@ -209,3 +209,23 @@ def sample(df: DataFrame, idx: int, column: str = "idx") -> DataFrame:
     if found.limit(1).count() == 0:
         raise IndexError(idx)
     return found
+
+
+def first_available(spark: SparkSession, candidates: dict[str, list[str]]) -> DataFrame:
+    """(name, path): the first of each data set's candidate paths that exists, else null; a bounded list of names."""
+    conf = spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    rows = [(name, next((p for p in paths if there(p)), None)) for name, paths in sorted(candidates.items())]
+    return spark.createDataFrame(rows, "name string, path string")
+
+
+def result(results: DataFrame, job_id: str) -> DataFrame:
+    """One job's result; KeyError for an unknown job."""
+    found = results.filter(F.col("job_id") == job_id)
+    if found.limit(1).count() == 0:
+        raise KeyError(job_id)
+    return found

@@ -137,3 +137,16 @@ def test_routing(spark):
     assert one(spark, R.smart_route(lit(0.2), lit(False), every)) == "both"
     assert one(spark, R.profile(lit(79.0), lit(50.0))) == "degraded"
     assert one(spark, R.reroute(lit("t"), lit(0.3), lit("f"), lit(0.8), lit(False), lit(False)))["text"] == "f"
+
+
+def test_postprocess_and_checked(spark):
+    got = one(spark, X.postprocess(lit(r"# a \frac{1}{2} b #"), markup=True))
+    assert (got.text, got.artifacts_removed, got.latex_cleaned) == ("a b", True, True)
+    assert one(spark, X.postprocess(lit("1+2"), math=True)).text == "1 + 2"
+    assert one(spark, X.checked(lit("teh cat")))["corrected"] == "the cat" and one(spark, X.checked(lit("12"), reject=True))["corrected"] == ""
+
+
+def test_scaled_traces(spark):
+    point = lambda x, y: F.struct(lit(x).alias("x"), lit(y).alias("y"))
+    got = one(spark, G.scaled_traces(F.array(F.array(point(1.0, 2.0), point(3.0, 10.0))), target=120, margin=20))
+    assert [(p.x, p.y) for p in got.traces[0]] == [(20, 20), (40, 100)] and got.width == 60

@@ -144,3 +144,9 @@ def test_decoding():
     lp = np.log(np.array([[0.6, 0.4], [0.6, 0.4]]))
     # outputs starting with symbol 1 over two steps: 1-, -1, 11 -> 1 - P(all blank)
     assert np.exp(decoding.ctc_prefix_score(lp, [1])) == pytest.approx(1 - 0.36)
+
+
+def test_synthesized_line(spark):
+    df = spark.createDataFrame([("l", 0, 10, 8), ("l", 1, 20, 12)], "line string, pos int, w int, h int")
+    a, b = lines.synthesized_line(df, "line", "pos", "w", "h").orderBy("pos").collect()
+    assert a.x == 0 and 30 <= b.x <= 60 and (a.y, b.y) == (2, 0) and a.canvas_width == b.x + 20
