@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from glyphmill.llm.common import arrow_map, with_text
 
 SPACE = "▁"
-#: Segments that a worker remembers; beyond, the memo starts anew.
-MEMO = 300_000
+#: Segments that a worker remembers in each of two generations; when the young one is full it becomes the old one.
+MEMO = 400_000
 _models: dict[str, "PrefixCounter"] = {}
 
 
@@ -40,7 +40,8 @@ class PrefixCounter:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.memo: dict[str, tuple[bytes, int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.joins: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -122,8 +123,8 @@ class PrefixCounter:
         self.joins[key] = apart
         return apart
 
-    def learn(self, segments: set[str]) -> dict[str, tuple[bytes, int]]:
-        """(int32 prefix counts as bytes, count of the whole) of each segment, by the recurrence.
+    def learn(self, segments: set[str]) -> dict[str, bytes]:
+        """Prefix counts (int32, as bytes) of each segment, by the recurrence.
 
         In sorted order a segment shares its first characters with the one before, and so the rows of the table."""
         rank, halves, lengths, follows = self.rank, self.halves, self.lengths, self.follows
@@ -143,42 +144,44 @@ class PrefixCounter:
                     last.append(char if known else "")  # byte fallback: nothing merges across it
                     counts.append(counts[-1] + (1 if known else len(char.encode("utf-8", "surrogatepass"))))
             past = segment
-            found[segment] = (array("i", counts[1:]).tobytes(), counts[-1])
+            found[segment] = array("i", counts[1:]).tobytes()
         return found
 
     @staticmethod
     def segments(text: str) -> list[str]:
-        """A run of spaces and the characters up to the next one; the model puts a space before the text."""
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        parts = text.split(" ")
-        if "" not in parts:
-            return [SPACE + p for p in parts]
+        """The text's segments, each without the space that it starts with (the model puts one before the text)."""
+        if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
         out, run = [], ""
-        for part in parts:
+        for part in text.replace(SPACE, " ").split(" "):
             run += SPACE
             if part:
-                out.append(run + part)
+                out.append(run[1:] + part)
                 run = ""
         if run:
-            out.append(run)
+            out.append(run[1:])
         return out
 
     def prefix_counts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text: counts[i], the tokens of its first i + 1 code points."""
+        young, old = self.young, self.old
         cut = [self.segments(t) if t else [] for t in texts]
-        memo = self.memo
-        fresh = self.learn({s for c in cut for s in c if s not in memo})
-        if len(memo) + len(fresh) > MEMO:
-            memo = {s: memo[s] for c in cut for s in c if s in memo}  # what this batch needs
-        known, out = memo | fresh, []
-        for c in cut:
-            found = [known[s] for s in c]
-            sizes = np.fromiter((len(b) for b, _ in found), np.int64, len(c)) >> 2
-            totals = np.fromiter((n for _, n in found), np.int64, len(c))
-            counts = np.frombuffer(b"".join([b for b, _ in found]), np.int32) + np.repeat(np.cumsum(totals) - totals, sizes)
-            out.append(counts[1:])  # the leading space is no code point of the text
-        self.memo = known if len(known) <= MEMO else {}
+        tables = [list(map(young.get, c)) for c in cut]
+        fresh = {s for c, found in zip(cut, tables, strict=True) if None in found for s, b in zip(c, found, strict=True) if b is None}
+        young |= {s: old[s] for s in fresh if s in old}
+        young |= {s[1:]: b for s, b in self.learn({SPACE + s for s in fresh if s not in young}).items()}
+        out = []
+        for c, found in zip(cut, tables, strict=True):
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = young[c[at]]
+            sizes = np.fromiter(map(len, c), np.int64, len(c)) + 1
+            counts = np.frombuffer(b"".join(found), np.int32)
+            totals = counts[np.cumsum(sizes) - 1].astype(np.int64)
+            out.append((counts + np.repeat(np.cumsum(totals) - totals, sizes))[1:])  # the leading space is no code point of the text
+        if len(young) > MEMO:
+            self.young, self.old = {}, young
         return out
 
 
