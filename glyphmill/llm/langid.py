@@ -5,7 +5,7 @@ cells; k(x, y) = |X and Y| / sqrt(|X| |Y|). Nystroem: m landmark texts give K_mm
 regression on phi gives one weight vector for each language. As k_m(x) = L x / |x| with L the (normalized) landmark rows, the scores of
 a batch X of texts are X (L' K_mm^(-1/2) W): the right factor is made once (DIM x languages), and a batch is one matrix product.
 
-Training rows: language not null, text with a letter, accepted by the caller's predicate. Of each language the PER_LANGUAGE rows of smallest id hash are taken (of at most
+Training rows: language not null, text with a letter, accepted by the caller's predicate. Of each language PER_LANGUAGE rows are taken by the hash of their id (of at most
 LANGUAGES languages, the most frequent ones), a bounded sample; everything else reads all rows and whole texts. A worker sends back one bit
 set of DIM cells for each sampled text.
 
@@ -75,32 +75,46 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def fit(presence: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """presence: texts x DIM booleans; rows of one language follow each other in any order. Landmarks are dealt evenly over the rows."""
+def kernel(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """k of every text (packed presence rows) with every landmark (normalized float32 rows), in blocks of ROWS texts."""
+    out = np.empty((len(bits), len(marks)))
+    for at in range(0, len(bits), ROWS):
+        x = np.unpackbits(bits[at : at + ROWS], axis=1).astype(np.float32)
+        out[at : at + ROWS] = (x @ marks.T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return out
+
+
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """bits: texts x DIM / 8 bytes, presence packed as by numpy. Landmarks are dealt evenly over the rows; only they are ever unpacked together."""
     languages = tuple(sorted(set(labels)))
-    x = presence.astype(np.float64)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = x[np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * values[-1]
+    chosen = np.unique(np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int))
+    marks = np.unpackbits(bits[chosen], axis=1).astype(np.float32)
+    marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+    k = kernel(bits, marks)
+    values, vectors = np.linalg.eigh(k[chosen])
+    good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm^(-1/2), up to a rotation
-    phi = x @ marks.T @ root
+    phi = k @ root
     target = np.array([[float(label == lang) for lang in languages] for label in labels])
     balance = 1 / (target @ target.sum(0))[:, None]  # every language weighs the same
-    solved = np.linalg.solve(phi.T @ (phi * balance) + ridge * np.eye(phi.shape[1]) / len(x), phi.T @ (target * balance))
-    return Model(languages, (marks.T @ (root @ solved)).astype(np.float32))
+    solved = np.linalg.solve(phi.T @ (phi * balance) + ridge * np.eye(phi.shape[1]) / len(bits), phi.T @ (target * balance))
+    return Model(languages, marks.T @ (root @ solved).astype(np.float32))
 
 
 def train(docs: DataFrame, usable: Column) -> Model | None:
     """A model from the rows that `usable` accepts; None if there are none."""
     keys = docs.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang")
-    common = [r[0] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not common:
+    counts = [(r[0], r[1]) for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not counts:
         return None
+    common = [lang for lang, _ in counts]
     spread = F.xxhash64(F.lit("langid"), "doc_id")
+    # about twice the rows that are kept pass a threshold on the hash, so that few rows of a language meet in the task that ranks them
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 2 * PER_LANGUAGE / n))])[F.col("lang")]
+    near = keys.filter(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30))
     order = W.partitionBy("lang").orderBy(spread, "doc_id")
     # at most LANGUAGES * PER_LANGUAGE ids, so small enough to broadcast
-    chosen = keys.filter(F.col("lang").isin(common)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE).select("doc_id").distinct()
+    chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE).select("doc_id").distinct()
     rows = docs.filter(usable & F.col("lang").isin(common)).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter("text is not null")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,8 +133,8 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
     sets = sorted((r for r in sets if any(r["bits"])), key=lambda r: (r["lang"], str(r["doc_id"])))
     if not sets:
         return None
-    presence = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in sets])
-    return fit(presence, [r["lang"] for r in sets])
+    bits = np.frombuffer(b"".join(r["bits"] for r in sets), np.uint8).reshape(len(sets), -1)
+    return fit(bits, [r["lang"] for r in sets])
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
