@@ -30,6 +30,8 @@ from glyphmill.llm.components import components
 SEED = 42
 RADIUS = 2
 BLOCK = 2048
+#: Up to so many ids (some 32 MB) are broadcast to leave documents out without moving texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Points of a forest that is searched at once, and pairs in flight.
 FOREST, PAIRS = 100_000, 1 << 19
 
@@ -188,6 +190,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = roots.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
     classes = points.join(moved, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "first_id").alias("component_id"))
+    classes = staged(classes, "classes")  # with an exchange of its own, the join's skewed side can be split
     return prints.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -196,9 +199,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows without a doc_id take no part and stay. Of rows that share a doc_id the smallest (by its other columns, in their order) stays."""
     found = near_duplicates(docs.filter("doc_id is not null"), radius)
-    firsts = staged(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "firsts")
-    kept = docs.join(firsts.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if firsts.filter("n > 1").limit(1).count():
+    marks = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") != F.col("component_id")).alias("others")).filter("n > 1 or others > 0"), "marks")
+    gone = marks.filter("others = n").select("doc_id")
+    kept = docs.filter("doc_id is not null").join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    if marks.filter("n > 1 and others < n").limit(1).count():
         rest = F.struct(*[kept[f"`{c}`"] for c in docs.columns if c != "doc_id"])
         kept = kept.groupBy("doc_id").agg(F.min(rest).alias("row")).select("doc_id", "row.*").select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))
