@@ -31,6 +31,8 @@ MOST_WORDS, LEAST_WORDS, QUIET_WORDS = 16, 16, 1
 WORD_RATE, CHAR_RATE, LONG_WORD = 1 / 4, 1 / 32, 64
 #: Texts are told apart by so many bits of their hash; the other 40 of the number are the place.
 PLACE_BITS = 40
+#: Up to so many spans (some 32 MB with their documents' ids) are broadcast, so that texts need not move; more are joined by a shuffle.
+BROADCAST_SPANS = 500_000
 
 
 def gear_table() -> np.ndarray:
@@ -133,6 +135,7 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, tag, start, length, n_words, source_doc_id): the spans, in UTF-8 bytes, that an earlier place already holds; source_doc_id is the document that holds most of it."""
     own = chunks(docs)
     first = own.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1").select(F.col("digest").alias("of"), "first_doc")
+    first = staged(first, "first")  # with an exchange of its own, the join's skewed side can be split
     later = own.join(first, F.col("digest") == F.col("of")).filter((F.col("words") < 0) | (F.col("doc_id") > F.col("first_doc")))
     base = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     words = F.when(F.col("words") < 0, -1 - F.col("words")).otherwise(F.col("words"))
@@ -150,9 +153,10 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def trim(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs without the repeated spans; n_chars, if there, follows the text. A document of which nothing but white space is left goes."""
-    spans = repeats(docs, least).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cut_spans"))
-    spans = staged(spans.select(F.col("doc_id").alias("_cut_id"), F.col("tag").alias("_cut_tag"), "_cut_spans"), "spans")
-    joined = docs.join(spans, (docs["doc_id"] == F.col("_cut_id")) & (tagged() == F.col("_cut_tag")), "left").select(*docs.columns, "_cut_spans")
+    found = staged(repeats(docs, least), "repeats")
+    spans = found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cut_spans"))
+    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("tag").alias("_cut_tag"), "_cut_spans")
+    joined = docs.join(F.broadcast(spans) if found.count() <= BROADCAST_SPANS else spans, (docs["doc_id"] == F.col("_cut_id")) & (tagged() == F.col("_cut_tag")), "left").select(*docs.columns, "_cut_spans")
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     text_at = docs.columns.index("text")
 
