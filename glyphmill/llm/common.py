@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch; whole texts are long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
 _own_dir: str | None = None
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation above it."""
     path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this process's staged tables; call it once the results that read them are written."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
