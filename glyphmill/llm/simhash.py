@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import arrow_map, small_batches, staged, utf8_views, with_text
 from glyphmill.llm.components import components
+from glyphmill.llm.resemblance import near_copies
 
 SEED = 42
 RADIUS = 2
@@ -194,11 +195,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near copies, that of the smallest doc_id. Near copies are those of `resemblance`, which is wider than two bits.
 
     Rows without a doc_id take no part and stay. Of rows that share a doc_id the smallest (by its other columns, in their order) stays."""
-    found = near_duplicates(docs.filter("doc_id is not null"), radius)
+    found = near_copies(docs.filter("doc_id is not null"))
     marks = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") != F.col("component_id")).alias("others")).filter("n > 1 or others > 0"), "marks")
     gone = marks.filter("others = n").select("doc_id")
     kept = docs.filter("doc_id is not null").join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
