@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import arrow_map, small_batches, staged, utf8_views, with_text
 from glyphmill.llm.components import components
-from glyphmill.llm.resemblance import near_copies
+from glyphmill.llm.resemblance import near_copies, with_nodes
 
 SEED = 42
 RADIUS = 2
@@ -196,14 +196,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies, that of the smallest doc_id. Near copies are those of `resemblance`, which is wider than two bits.
-
-    Rows without a doc_id take no part and stay. Of rows that share a doc_id the smallest (by its other columns, in their order) stays."""
-    found = near_copies(docs.filter("doc_id is not null"))
-    marks = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") != F.col("component_id")).alias("others")).filter("n > 1 or others > 0"), "marks")
-    gone = marks.filter("others = n").select("doc_id")
-    kept = docs.filter("doc_id is not null").join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    if marks.filter("n > 1 and others < n").limit(1).count():
-        rest = F.struct(*[kept[f"`{c}`"] for c in docs.columns if c != "doc_id"])
-        kept = kept.groupBy("doc_id").agg(F.min(rest).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    """docs with one row of each component of near copies. Near copies are those of `resemblance`, which is wider than two bits.
+
+    The row that stays has the smallest doc_id; of several such the smallest shingle set's name decides, then the other columns, in their order. Rows that share a doc_id but
+    are no near copies are told apart by their sets and all stay. Rows without a doc_id take no part and stay."""
+    named = docs.filter("doc_id is not null")
+    found = near_copies(named).withColumn("stays", F.expr("doc_id = component_id and node = first_node"))
+    marks = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("stays")).filter("n > 1 or stays = 0"), "marks")
+    # ids of one row are decided by the id alone, so that no text moves; only the rows of repeated ids are looked at again
+    some = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = named.join(some(marks.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    mixed = marks.filter("n > 1 and stays > 0").select("doc_id")
+    if mixed.limit(1).count():
+        rows = with_nodes(named.join(some(mixed), "doc_id", "left_semi").select(*docs.columns), "_node")
+        own = found.filter("stays").select(F.col("doc_id").alias("_of"), F.col("node").alias("_first")).distinct()
+        rows = rows.join(own, (F.col("doc_id") == F.col("_of")) & (F.col("_node") == F.col("_first"))).select(*docs.columns, "_node")
+        rest = F.struct(*[rows[f"`{c}`"] for c in docs.columns if c != "doc_id"])
+        one = rows.groupBy("doc_id", "_node").agg(F.min(rest).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+        kept = kept.unionByName(one)
     return kept.unionByName(docs.filter("doc_id is null"))

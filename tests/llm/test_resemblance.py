@@ -61,3 +61,14 @@ def test_members_far_from_their_bucket_s_smallest(spark):
 def test_edges(spark, make):
     assert resemblance.near_copies(make(["x"]).limit(0)).count() == 0
     assert [r.component_id for r in resemblance.near_copies(make(["a b", "a b"], ids=[None, 4])).collect()] == [4, 4]
+
+
+def test_rows_of_one_id_are_decided_apart(spark, make, prose):
+    """Two clean texts under one id both stay; of a unique text and a copy of a smaller id's only the unique one."""
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    docs = make([a, b, c, a.upper(), d, d, c], ids=[1, 2, 2, 3, 3, 3, 9])
+    docs = docs.unionByName(make([b], ids=[2]))
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert [x for x, _ in kept] == [1, 2, 2, 3] and {t for _, t in kept} == {a, b, c, d}
+    assert simhash.keep_one(docs).columns == docs.columns
