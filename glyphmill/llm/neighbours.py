@@ -137,7 +137,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     dim, total = sizes
     rows = rows.filter(F.size("v") == dim)
     # one entry for equal vectors: at most k + 1 of their ids can be among the k nearest of a query
-    copies = first_by(rows.select("vec_id", "v").withColumn("key", F.xxhash64("v")), ["key", "v"], [F.col("vec_id")], 2 * k + 2)
+    # repeated rows are one before the rank
+    copies = first_by(rows.select("vec_id", "v").distinct().withColumn("key", F.xxhash64("v")), ["key", "v"], [F.col("vec_id")], k + 1)
     entries = staged(copies.groupBy("key", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
     queries = staged(rows.filter("asked").groupBy("vec_id").agg(F.first("v").alias("v")), "queries")
     sample = entries.orderBy("key").select("v").limit(SAMPLE)  # a fit on a bounded sample
