@@ -5,8 +5,8 @@ cells; k(x, y) = |X and Y| / sqrt(|X| |Y|). Nystroem: m landmark texts give K_mm
 regression on phi gives one weight vector for each language. As k_m(x) = L x / |x| with L the (normalized) landmark rows, the scores of
 a batch X of texts are X (L' K_mm^(-1/2) W): the right factor is made once (DIM x languages), and a batch is one matrix product.
 
-Training rows: language not null, text with a letter, accepted by the caller's predicate. Of each language PER_LANGUAGE rows are taken by the hash of their id (of at most
-LANGUAGES languages, the most frequent ones), a bounded sample; everything else reads all rows and whole texts. A worker sends back one bit
+Training rows: language not null, text with a letter, accepted by the caller's predicate. Of each language PER_LANGUAGE distinct ids of such rows are taken by their hash (fewer of
+each where there are over LANGUAGES languages; no language is left out), a bounded sample; everything else reads all rows and whole texts. A worker sends back one bit
 set of DIM cells for each sampled text.
 
 Predictions use the text alone. Null texts and texts without a letter are `und` with score 0, as is everything if there is nothing to learn from. Ties go to the language
@@ -103,19 +103,20 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 def train(docs: DataFrame, usable: Column) -> Model | None:
     """A model from the rows that `usable` accepts; None if there are none."""
-    keys = docs.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang")
-    counts = [(r[0], r[1]) for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    learnable = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    keys = learnable.select("doc_id", "lang")
+    counts = [(r[0], max(1, r[1])) for r in keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()]
     if not counts:
         return None
-    common = [lang for lang, _ in counts]
+    per = max(1, min(PER_LANGUAGE, LANGUAGES * PER_LANGUAGE // len(counts)))
     spread = F.xxhash64(F.lit("langid"), "doc_id")
     # about twice the rows that are kept pass a threshold on the hash, so that few rows of a language meet in the task that ranks them
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 2 * PER_LANGUAGE / n))])[F.col("lang")]
-    near = keys.filter(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, max(2 * per, per + 40) / n))])[F.col("lang")]
+    near = keys.filter(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30)).distinct()
     order = W.partitionBy("lang").orderBy(spread, "doc_id")
-    # at most LANGUAGES * PER_LANGUAGE ids, so small enough to broadcast
-    chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE).select("doc_id").distinct()
-    rows = docs.filter(usable & F.col("lang").isin(common)).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter("text is not null")
+    # at most LANGUAGES * PER_LANGUAGE ids (or one for each language), so small enough to broadcast
+    chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per).select("doc_id", "lang")
+    rows = learnable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
@@ -129,7 +130,7 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # repeated ids: one row each, so that the sample stays bounded
-    sets = arrow_map(rows, f"doc_id {id_type}, lang string, bits binary", work).dropDuplicates(["doc_id"]).collect()
+    sets = arrow_map(rows, f"doc_id {id_type}, lang string, bits binary", work).groupBy("doc_id", "lang").agg(F.min("bits").alias("bits")).collect()
     sets = sorted((r for r in sets if any(r["bits"])), key=lambda r: (r["lang"], str(r["doc_id"])))
     if not sets:
         return None
