@@ -43,10 +43,10 @@ def similar(queries: DataFrame, words: DataFrame, distance: int = 2) -> DataFram
 def with_prefix(queries: DataFrame, words: DataFrame, n: int = 10) -> DataFrame:
     """(query, word, place): the first n words that start with each query, by an equi-join on the prefix."""
     asked = queries.select(F.lower("query").alias("query")).filter("query <> ''").distinct().withColumn("size", F.length("query"))
-    sizes = [r[0] for r in asked.select("size").distinct().orderBy("size").limit(100).collect()]
-    if not sizes:
-        return asked.select("query", F.col("query").alias("word"), F.lit(0).alias("place"))
-    keyed = words.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).filter(F.length("word") >= F.col("size")).withColumn("query", F.expr("substring(word, 1, size)"))
+    # only prefixes of lengths that are asked for, each word's up to its own length
+    sizes = asked.select("size").distinct()
+    bound = words.filter("word <> ''").select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("size"))
+    keyed = bound.join(F.broadcast(sizes), "size", "left_semi").withColumn("query", F.expr("substring(word, 1, size)"))
     met = asked.join(keyed, ["query", "size"]).select("query", "word")
     return met.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("word"))).filter(F.col("place") <= n)
 
