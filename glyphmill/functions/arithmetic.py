@@ -40,7 +40,8 @@ DEFAULT = Config()
 def clean(text: Column) -> Column:
     """Markup and noise to blanks, look-alikes to digits and operators, everything else away, pairs of operators to the first one."""
     swaps = {c: d for c, d in (DIGITS_FOR | OPERATORS_FOR).items() if c not in NOISE}
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), MARKUP_ANY, " ")
+    said = F.coalesce(text, F.lit(""))
+    out = F.when(said.contains("\\"), F.regexp_replace(said, MARKUP_ANY, " ")).otherwise(said)  # every pattern starts with a backslash
     out = F.translate(out, NOISE, " " * len(NOISE))
     out = F.translate(out, "".join(swaps), "".join(swaps.values()))
     out = stripped(F.regexp_replace(out, r"(?U)\s+", " "))
@@ -61,11 +62,20 @@ def correct_number(token: Column, config: Config = DEFAULT) -> Column:
     value = F.when(token.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), token.cast("double"))
     whole = F.when(F.abs(value) < 1e15, value.cast("long"))
     exact = _token(token, whole.cast("string"), "number", F.lit(1.0), F.lit(0))
-    numbers = F.sequence(F.lit(config.low), F.lit(config.high))
-    best = F.array_min(F.transform(numbers, lambda n: F.struct((-similarity(token, n.cast("string"))).alias("s"), F.levenshtein(token, n.cast("string")).alias("d"), n.alias("n"))))
+    # the numbers as folded literals; one of k characters can only be similar enough to a token of up to k / similarity characters
+    names = [str(n) for n in range(config.low, config.high + 1)]
+    listed = lambda k: F.array(*[F.struct(F.lit(s).alias("s"), F.lit(len(s)).alias("size"), F.lit(int(s)).alias("n")) for s in names if len(s) >= k])
+    sizes = sorted(set(map(len, names)))
+    need = config.similarity * F.length(token) - 1e-9
+    named = F.when(need <= sizes[0], listed(sizes[0]))
+    for k in sizes[1:]:
+        named = named.when(need <= k, listed(k))
+    far = lambda d, size: d / F.greatest(F.length(token), size) - 1
+    measured = F.transform(named, lambda x: F.struct(F.levenshtein(token, x["s"]).alias("d"), x["size"].alias("size"), x["n"].alias("n")))
+    best = F.array_min(F.transform(measured, lambda x: F.struct(far(x["d"], x["size"]).alias("s"), x["d"].alias("d"), x["n"].alias("n"))))
     fuzzy = let(best, lambda near: F.when(-near["s"] >= config.similarity, _token(token, near["n"].cast("string"), "number", -near["s"], near["d"])))
     # without a digit nothing is shared with any number, and the similarity is 0
-    return F.when(whole.between(config.low, config.high), exact).when(token.rlike(r"\d"), fuzzy)
+    return F.when(whole.between(config.low, config.high), exact).when(token.rlike(r"\d") & (need <= sizes[-1]), fuzzy)
 
 
 def correct_operator(token: Column, config: Config = DEFAULT) -> Column:

@@ -87,7 +87,8 @@ def recased(word: Column, correction: Column) -> Column:
 
 
 def correct(texts: DataFrame, words: DataFrame, key: str, text: str = "text", most: int = 5, distance: int = 1) -> DataFrame:
-    """(key, corrected): unknown words become the nearest known one, the first `most` of each text; marks around them and their case stay."""
+    """(key, corrected), one row for each distinct key: unknown words become the nearest known one, the first `most` of each text; marks around them and their case stay.
+    Blank and null texts become empty ones."""
     parts = texts.select(key, F.posexplode(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).alias("pos", "whole"))
     bare = r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$"
     parts = parts.withColumn("head", F.regexp_extract("whole", bare, 1)).withColumn("core", F.regexp_extract("whole", bare, 2)).withColumn("tail", F.regexp_extract("whole", bare, 3)).withColumn("query", F.lower("core"))
@@ -98,7 +99,8 @@ def correct(texts: DataFrame, words: DataFrame, key: str, text: str = "text", mo
     used = F.sum(F.when(F.col("best").isNotNull(), 1).otherwise(0)).over(W.partitionBy(key).orderBy("pos"))
     said = F.when(F.col("best").isNotNull() & (used <= most), recased(F.col("core"), F.col("best"))).otherwise(F.col("core"))
     met = met.withColumn("said", F.concat("head", said, "tail"))
-    return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda r: r["said"]), " ").alias("corrected"))
+    done = met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda r: r["said"]), " ").alias("corrected"))
+    return texts.select(key).distinct().join(done, key, "left").select(key, F.coalesce("corrected", F.lit("")).alias("corrected"))
 
 
 def spelling_report(texts: DataFrame, words: DataFrame, key: str, text: str = "text", suggestions: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,12 +11,27 @@ from pyspark.sql import functions as F
 from glyphmill.functions import distance as D
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, median): the upper median by ranks, without gathering a group in one place: counts of distinct values are summed up to the middle."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    upto = counts.withColumn("upto", F.sum("n").over(part.orderBy(value))).withColumn("all", F.sum("n").over(part))
-    return upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))
+def upper_median(df: DataFrame, keys: list[str], value: str, ranges: int = 1024) -> DataFrame:
+    """(keys, median): the upper median by ranks, without gathering a group in one place.
+
+    Each group's span from least to most is cut in ranges; their counts (at most `ranges` rows for each group) tell the one in which the middle lies, and only
+    the distinct values of that range are ranked."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    one = keys or ["_all"]
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(0))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in one])
+    span = rows.groupBy(*one).agg(F.min("_v").cast("double").alias("_low"), F.max("_v").cast("double").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    wide = F.col("_high") - F.col("_low")
+    place = F.when(wide > 0, F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_low")) / wide * ranges))).otherwise(0)
+    ranged = rows.alias("r").join(span.alias("s"), same("r", "s")).select("r.*", "_n", place.alias("_range"))
+    counts = ranged.groupBy(*one, "_range").agg(F.count(F.lit(1)).alias("_in"), F.first("_n").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_in").over(W.partitionBy(*one).orderBy("_range")))
+    middle = upto.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*one).agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_in")).alias("_before"), "_n"), "_range").alias("_m"))
+    inside = ranged.alias("r").join(middle.alias("m"), same("r", "m") & (F.col("_range") == F.col("_m._range"))).select("r.*", F.col("_m._before").alias("_before"))
+    ranked = inside.groupBy(*one, "_v", "_before", "_n").agg(F.count(F.lit(1)).alias("_k"))
+    ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_k").over(W.partitionBy(*one).orderBy("_v")))
+    return ranked.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*one).agg(F.min("_v").alias("median")).select(*keys, "median")
 
 
 def pairs_with_rates(pairs: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
@@ -39,12 +56,13 @@ def batch_summary(rated: DataFrame) -> DataFrame:
 
 
 def math_summary(pairs: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
-    """One row over formula pairs: mean normalized token distance, edits, tokens, micro accuracy, exact rate."""
+    """One row over formula pairs: mean and upper median of the normalized token distance, edits, tokens, micro accuracy, exact rate."""
     p, r = D.latex_tokens(F.col(prediction)), D.latex_tokens(F.col(reference))
     rows = pairs.select(p.alias("p"), r.alias("r"), D.exact_expression(F.col(prediction), F.col(reference)).alias("exact"))
     rows = rows.withColumn("edits", D.sequence_distance(F.col("p"), F.col("r"))).withColumn("rate", D.normalized_distance(F.col("edits"), F.size("r"), F.size("p")))
     micro = 1.0 - F.try_divide(F.sum("edits"), F.sum(F.size("r")))
-    return rows.agg(F.avg("rate").alias("mean_distance"), F.sum("edits").alias("edits"), F.sum(F.size("r")).alias("tokens"), F.coalesce(micro, F.lit(0.0)).alias("micro_accuracy"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.count(F.lit(1)).alias("n"))
+    middle = upper_median(rows, [], "rate").agg(F.coalesce(F.min("median"), F.lit(0.0)).alias("median_distance"))
+    return middle.crossJoin(rows.agg(F.avg("rate").alias("mean_distance"), F.sum("edits").alias("edits"), F.sum(F.size("r")).alias("tokens"), F.coalesce(micro, F.lit(0.0)).alias("micro_accuracy"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.count(F.lit(1)).alias("n")))  # one row each
 
 
 def compare_engines(samples: DataFrame, engines: list[str] | None = None) -> DataFrame:
@@ -63,11 +81,14 @@ def best(metrics: DataFrame, name: str, metric: str, largest: bool = False) -> D
     return metrics.filter(F.col(metric).isNotNull()).orderBy(order, name).limit(1)
 
 
-def report(metrics: DataFrame) -> DataFrame:
+def report(metrics: DataFrame, columns: tuple[str, ...] = ("mean_cer", "mean_wer", "exact_rate")) -> DataFrame:
     """One row: a Markdown table of engines by mean error."""
-    line = F.format_string("| %s | %.4f | %.4f | %.4f | %d |", "engine", "mean_cer", "mean_wer", "exact_rate", "n")
+    titles = {"mean_cer": "CER", "mean_wer": "WER", "exact_rate": "exact"}
+    heads = ["engine", *(titles[c] for c in columns), "n"]
+    line = F.format_string("| %s | " + "%.4f | " * len(columns) + "%d |", "engine", *columns, "n")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("mean_cer", "engine", line.alias("line")))), lambda r: r["line"])
-    return metrics.agg(F.array_join(F.concat(F.array(F.lit("| engine | CER | WER | exact | n |"), F.lit("| --- | --- | --- | --- | --- |")), lines), "\n").alias("report"))
+    head = F.array(F.lit("| " + " | ".join(heads) + " |"), F.lit("| " + " | ".join(["---"] * len(heads)) + " |"))
+    return metrics.agg(F.array_join(F.concat(head, lines), "\n").alias("report"))
 
 
 def page_summary(lines: DataFrame, page: str, boost: Column | None = None) -> DataFrame:

@@ -66,6 +66,11 @@ def words_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{S}+'), lambda w: w <> '')"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by the key in all shuffle partitions: the exchange that the next step needs anyway, in as many tasks as its work per row (not its few bytes) asks for."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # --- inputs -----------------------------------------------------------------------------------------------------------
 
 
@@ -93,13 +98,15 @@ FROM (SELECT *, s + CASE WHEN id % 7 = 0 THEN s + 5 ELSE 0 END AS said FROM (SEL
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, prediction, reference): each turn and the next one, folded to ASCII."""
-    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    rows = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("t", fold(F.col("text")))
-    return rows.withColumn("reference", F.lead("t").over(W.partitionBy("conv_id").orderBy("turn", "role", "t"))).filter("reference is not null").select("conv_id", "turn", F.col("t").alias("prediction"), "reference")
+    """(conv_id, turn, prediction, reference): each turn and the next one."""
+    rows = spread(table(spark, sf_dir, "conversations").filter("text is not null"), "conv_id")
+    return rows.withColumn("reference", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("reference is not null").select("conv_id", "turn", F.col("text").alias("prediction"), "reference")
 
 
-PAIRS = r"SELECT * FROM (SELECT conv_id, turn, t AS prediction, lead(t) OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS reference FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM conversations WHERE text IS NOT NULL)) WHERE reference IS NOT NULL"
+# DuckDB's distance counts bytes: the accented letters of the tables become control characters, so that a letter is a byte there
+ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+BYTES = "".join(f" || chr({i})" for i in [*range(1, 9), *range(14, 27)])[4:]
+PAIRS = f"SELECT conv_id, turn, translate(prediction, '{ACCENTED}', {BYTES}) AS prediction, translate(reference, '{ACCENTED}', {BYTES}) AS reference FROM (SELECT conv_id, turn, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS reference FROM conversations WHERE text IS NOT NULL) WHERE reference IS NOT NULL"
 CER = "CASE WHEN length(reference) = 0 THEN CASE WHEN length(prediction) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(prediction, reference) / length(reference) END"
 
 
@@ -139,7 +146,7 @@ s AS (SELECT token, i, levenshtein(token, n) AS d, 1.0::DOUBLE - levenshtein(tok
 SELECT token, CASE WHEN CAST(token AS BIGINT) <= 100 THEN CAST(token AS INT) WHEN sim >= 0.5 THEN CAST(i AS INT) END AS number, CASE WHEN CAST(token AS BIGINT) <= 100 THEN 1.0 WHEN sim >= 0.5 THEN round(sim, 6) END AS confidence FROM b"""
 )
 def nearest_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("token")).distinct()
+    t = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("token")), "token").distinct()
     return t.withColumn("c", A.correct_number(F.col("token"))).select("token", F.col("c.corrected").cast("int").alias("number"), F.round("c.confidence", 6).alias("confidence"))
 
 
@@ -186,16 +193,47 @@ def cer_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy(D.quality_band(F.col("cer")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(D.accuracy(F.col("cer"))), 6).alias("accuracy"))
 
 
-@query()
+def sequence_sql(source: str) -> str:
+    """Statements that end with `edits`: (conv_id, turn, v, n_p, n_r) of rows (conv_id, turn, p list, r list), by the table of distances, a row of it for each step."""
+    return f"""s AS (SELECT row_number() OVER () AS id, * FROM ({source})), p AS (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM s), r AS (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS j FROM s),
+d AS (SELECT id, 0 AS i, unnest(range(0, len(r) + 1)) AS j, unnest(range(0, len(r) + 1)) AS v FROM s UNION ALL SELECT id, i, j, min(t - j) OVER (PARTITION BY id ORDER BY j) + j FROM
+(SELECT d.id, d.i + 1 AS i, d.j, CASE WHEN d.j = 0 THEN d.i + 1 ELSE least(d.v + 1, lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + CASE WHEN p.w = r.w THEN 0 ELSE 1 END) END AS t FROM d JOIN p ON p.id = d.id AND p.i = d.i + 1 LEFT JOIN r ON r.id = d.id AND r.j = d.j)),
+edits AS (SELECT s.conv_id, s.turn, s.prediction, s.reference, v, len(p) AS n_p, len(r) AS n_r FROM s JOIN d ON s.id = d.id AND d.i = len(s.p) AND d.j = len(s.r))"""
+
+
+WER = "CASE WHEN n_r = 0 THEN CASE WHEN n_p = 0 THEN 0.0 ELSE 1.0 END ELSE v / n_r END"
+
+
+@query(
+    f"WITH RECURSIVE {sequence_sql(f'SELECT *, ' + words_sql('prediction') + ' AS p, ' + words_sql('reference') + f' AS r FROM ({PAIRS})')} SELECT conv_id, turn, round(CASE WHEN length(reference) = 0 THEN CASE WHEN length(prediction) = 0 THEN 0.0 ELSE 1.0 END ELSE {WER} END, 6) AS wer, round({WER}, 6) AS wer_stripped FROM edits"
+)
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r = F.col("prediction"), F.col("reference")
     return pairs(spark, sf_dir).select("conv_id", "turn", F.round(D.wer(p, r), 6).alias("wer"), F.round(D.wer_stripped(p, r), 6).alias("wer_stripped"))
 
 
-@query()
+FORMULAS = [r"\frac{a}{b} + c", r"\sqrt {x", r"\sum _{i} \int _0", "$x^2$", r"\ldots 5 \times 70.5", "(2+33", r"\alpha  { y }"]
+#: Their tokens of several characters.
+LONG_TOKENS = [r"\frac", r"\sqrt", r"\sum", r"\int", r"\ldots", r"\times", "70.5", "33", r"\alpha"]
+FORMULAS_SQL, LONG_SQL = ("['" + "', '".join(map(q, x)) + "']" for x in (FORMULAS, LONG_TOKENS))
+TOKENS_SQL = lambda x: rf"list_transform(regexp_extract_all(regexp_replace({strip_sql(x)}, '^\$+|\$+$', '', 'g'), '(?s)(\\\p{{L}}+|\\.?|\p{{Nd}}[\p{{Nd}}.]*|[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}])', 1), lambda t: CASE WHEN length(t) > 1 THEN chr(CAST(64 + list_position({LONG_SQL}, t) AS INT)) ELSE t END)"
+FORMULA_PAIRS = f"SELECT conv_id, turn, {FORMULAS_SQL}[(conv_id + turn) % {len(FORMULAS)} + 1] || ' ' || regexp_replace(prediction, '[A-I0-9]', '', 'g') AS prediction, {FORMULAS_SQL}[conv_id % {len(FORMULAS)} + 1] || ' ' || regexp_replace(reference, '[A-I0-9]', '', 'g') AS reference FROM ({PAIRS})"
+
+
+def formula_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that start with formulas (without digits and the first capital letters, which stand for the long tokens in the oracle)."""
+    said = F.array(*[F.lit(x) for x in FORMULAS])
+    put = lambda n, text: F.concat(F.element_at(said, (n % len(FORMULAS) + 1).cast("int")), F.lit(" "), F.regexp_replace(text, "[A-I0-9]", ""))
+    return pairs(spark, sf_dir).select("conv_id", "turn", put(F.col("conv_id") + F.col("turn"), "prediction").alias("prediction"), put(F.col("conv_id"), "reference").alias("reference"))
+
+
+TOKEN_EDITS = f"SELECT *, levenshtein(array_to_string(p, ''), array_to_string(r, '')) AS v, len(p) AS n_p, len(r) AS n_r FROM (SELECT *, {TOKENS_SQL('prediction')} AS p, {TOKENS_SQL('reference')} AS r FROM ({FORMULA_PAIRS}))"
+
+
+@query(f"SELECT conv_id, turn, v AS edits, n_r AS n_reference FROM ({TOKEN_EDITS})")
 def token_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r = D.latex_tokens(F.col("prediction")), D.latex_tokens(F.col("reference"))
-    rows = pairs(spark, sf_dir).select("conv_id", "turn", p.alias("p"), r.alias("r"))
+    rows = formula_pairs(spark, sf_dir).select("conv_id", "turn", p.alias("p"), r.alias("r"))
     return rows.select("conv_id", "turn", D.sequence_distance(F.col("p"), F.col("r")).alias("edits"), F.size("r").alias("n_reference"))
 
 
@@ -209,19 +247,24 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", D.exact_expression(F.col("prediction"), F.col("reference")).alias("exact"))
 
 
-@query()
+@query(
+    f"SELECT round(avg({WER}), 6) AS mean_distance, round(list_sort(list({WER}))[count(*) // 2 + 1], 6) AS median_distance, CAST(sum(v) AS BIGINT) AS edits, CAST(sum(n_r) AS BIGINT) AS tokens, round(1 - sum(v) / sum(n_r), 6) AS micro_accuracy, round(avg(CAST(regexp_replace(prediction, '{S}+', '', 'g') = regexp_replace(reference, '{S}+', '', 'g') AS INT)), 6) AS exact_rate, count(*) AS n FROM ({TOKEN_EDITS})"
+)
 def macro_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.math_summary(pairs(spark, sf_dir))
+    out = metrics.math_summary(formula_pairs(spark, sf_dir))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def engine_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
-    preds = F.create_map(F.lit("upper"), F.upper("reference"), F.lit("trimmed"), F.substring(F.col("reference"), 2, 1 << 30), F.lit("neighbour"), F.col("prediction"))
+    preds = F.create_map(F.lit("upper"), F.translate("reference", LOWER, LOWER.upper()), F.lit("trimmed"), F.substring(F.col("reference"), 2, 1 << 30), F.lit("neighbour"), F.col("prediction"))
     return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "reference", preds.alias("predictions"))
 
 
-ENGINES = f"""SELECT engine, prediction, reference FROM (SELECT 'upper' AS engine, upper(reference) AS prediction, reference FROM p UNION ALL SELECT 'trimmed', substr(reference, 2), reference FROM p UNION ALL SELECT 'neighbour', prediction, reference FROM p)"""
+ENGINES = f"""SELECT engine, prediction, reference FROM (SELECT 'upper' AS engine, translate(reference, '{LOWER}', '{LOWER.upper()}') AS prediction, reference FROM p UNION ALL SELECT 'trimmed', substr(reference, 2), reference FROM p UNION ALL SELECT 'neighbour', prediction, reference FROM p)"""
 
 
 @query(f"WITH p AS ({PAIRS}) SELECT engine, round(avg({CER}), 6) AS mean_cer, round(avg(CAST({strip_sql('prediction')} = {strip_sql('reference')} AS INT)), 6) AS exact_rate, count(*) AS n FROM ({ENGINES}) GROUP BY 1")
@@ -235,9 +278,9 @@ def best_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best(metrics.compare_engines(engine_samples(spark, sf_dir)), "engine", "mean_cer").select("engine", F.round("mean_cer", 6).alias("mean_cer"))
 
 
-@query()
+@query(f"WITH p AS ({PAIRS}), m AS (SELECT engine, avg({CER}) AS c, avg(CAST({strip_sql('prediction')} = {strip_sql('reference')} AS INT)) AS e, count(*) AS n FROM ({ENGINES}) GROUP BY 1) SELECT '| engine | CER | exact | n |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg(format('| {{}} | {{:.4f}} | {{:.4f}} | {{}} |', engine, c, e, n), chr(10) ORDER BY c, engine) AS report FROM m")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.report(metrics.compare_engines(engine_samples(spark, sf_dir)))
+    return metrics.report(metrics.compare_engines(engine_samples(spark, sf_dir)), ("mean_cer", "exact_rate"))
 
 
 # --- confidence -------------------------------------------------------------------------------------------------------
@@ -424,10 +467,27 @@ def latex_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latex_lines(spark, sf_dir).select("doc_id", X.balance_braces(F.col("latex")).alias("balanced"))
 
 
-@query()
+def tidy_sql(x: str) -> str:
+    for pattern, after in ((rf"\\frac{S}+\{{", r"\frac{"), (rf"\\sqrt{S}+\{{", r"\sqrt{"), (rf"\\sum{S}+_", r"\sum_"), (rf"\\int{S}+_", r"\int_"), (rf"\\lim{S}+_", r"\lim_"), (rf"\\{S}+", "\\"), (rf"\{{{S}+", "{"), (rf"{S}+\}}", "}")):
+        after = after.replace("\\", "\\\\")
+        x = f"regexp_replace({x}, '{pattern}', '{after}', 'g')"
+    return x
+
+
+BARE = "CASE WHEN t LIKE '$%' AND t LIKE '%$' THEN CASE WHEN length(t) > 1 THEN substr(t, 2, length(t) - 2) ELSE '' END ELSE t END"
+PLAIN_MATH = strip_sql("replace(replace(replace(replace(replace(replace(t, '$$', ''), '$', ''), '\\[', ''), '\\]', ''), '\\(', ''), '\\)', '')")
+DEPTHS = "list_transform(range(1, length(latex) + 1), lambda i: length(replace(substr(latex, 1, i), '}', '')) - length(replace(substr(latex, 1, i), '{', '')))"
+VALID = f"(t <> '' AND len(list_filter({DEPTHS}, lambda d: d < 0)) = 0 AND list_last({DEPTHS}) = 0 AND {count_sql('latex', chr(92) + 'begin')} = {count_sql('latex', chr(92) + 'end')})"
+DISPLAY = r"regexp_matches(latex, '\\frac|\\sum|\\prod|\\int|\\lim|\\begin\{|\\matrix')"
+
+
+@query(
+    f"""SELECT doc_id, {tidy_sql("b.o || repeat('}', b.d)")} AS cleaned, regexp_replace(regexp_replace(repeat('{{', greatest(0, c - o)) || u || repeat('}}', greatest(0, o - c)), '\\\\frac{S}*\\{{', '\\\\frac{{', 'g'), '\\\\sqrt{S}*\\{{', '\\\\sqrt{{', 'g') AS postprocessed, valid, CASE WHEN NOT valid THEN 0.1::DOUBLE WHEN contains(latex, '???') OR contains(latex, '\\unknown') THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
+CASE WHEN display THEN '$$' || chr(10) || m || chr(10) || '$$' ELSE '$' || m || '$' END AS formatted, looks FROM (SELECT *, {BALANCE.replace('latex', 't')} AS b, {count_sql('u', '{')} AS o, {count_sql('u', '}')} AS c, {VALID} AS valid, {DISPLAY} AS display, regexp_matches(latex, '[\\\\_^{{}}]') AND {count_sql('latex', '{')} = {count_sql('latex', '}')} AS looks FROM (SELECT *, {BARE} AS u, {PLAIN_MATH} AS m FROM (SELECT *, {strip_sql('latex')} AS t FROM {LATEX_SQL})))"""
+)
 def latex_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("latex")
-    return latex_lines(spark, sf_dir).select("doc_id", X.cleanup_latex(c).alias("cleaned"), X.postprocess_latex(c).alias("postprocessed"), X.valid_latex(c).alias("valid"), X.latex_confidence(c).alias("confidence"), X.format_math(c, X.is_display_math(c)).alias("formatted"))
+    return latex_lines(spark, sf_dir).select("doc_id", X.cleanup_latex(c).alias("cleaned"), X.postprocess_latex(c).alias("postprocessed"), X.valid_latex(c).alias("valid"), X.latex_confidence(c).alias("confidence"), X.format_math(c, X.is_display_math(c)).alias("formatted"), X.looks_like_latex(c).alias("looks"))
 
 
 NORMAL = f"translate(regexp_replace(latex, '{S}*([+\\-=]){S}*', ' \\1 ', 'g'), '×÷', '*/')"
@@ -482,7 +542,13 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("offset").alias("offsets"))
 
 
-@query()
+REPEATED = f"(len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])) > 0 OR len(list_filter(range(1, len(c) - 3), lambda i: c[i] <> chr(10) AND c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3] AND c[i] = c[i + 4])) > 0)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, text, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / nullif(length(replace(text, ' ', '')), 0) AS ratio, {words_sql('lower(text)')} AS w, string_split(text, '') AS c FROM documents), j AS (SELECT *, CASE WHEN {strip_sql('text')} = '' THEN 'empty_text' WHEN ratio IS NULL THEN 'no_characters' WHEN ratio < 0.7 THEN 'low_alpha_ratio' WHEN {REPEATED} THEN 'excessive_repetition' ELSE 'passed' END AS reason FROM t)
+SELECT doc_id, reason = 'passed' AS plausible, round(CASE reason WHEN 'empty_text' THEN 0.0 WHEN 'no_characters' THEN 0.0 WHEN 'low_alpha_ratio' THEN ratio WHEN 'excessive_repetition' THEN 0.3 ELSE least(1.0, ratio * 1.2) END, 6) AS confidence, reason FROM j"""
+)
 def plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", X.plausibility(F.col("text")).alias("p"))
     return rows.select("doc_id", "p.plausible", F.round("p.confidence", 6).alias("confidence"), "p.reason")
@@ -493,10 +559,11 @@ def reject_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.rejection((F.col("doc_id") % 10) / 10.0, F.col("text")).alias("reason"))
 
 
-@query(r"SELECT count(*) AS n, count_if(contains(d.text, '0') AND NOT regexp_matches(b.text, '\p{Nd}')) AS zeros, round(100.0 * count_if(contains(d.text, '0') AND NOT regexp_matches(b.text, '\p{Nd}')) / count(*), 4) AS zero_rate, count_if(contains(lower(d.text), 'catalog') AND contains(lower(b.text), 'catalyze')) AS drifts FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id")
+@query(r"SELECT count(*) AS n, count_if(contains(d.text, '0') AND NOT regexp_matches(b.text, '\p{Nd}')) AS zeros, round(100.0 * count_if(contains(d.text, '0') AND NOT regexp_matches(b.text, '\p{Nd}')) / count(*), 4) AS zero_rate, count_if(contains(lower(d.text), 'catalog') AND contains(lower(b.text), 'catalyze')) AS drifts FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id")
 def zero_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
-    both = d.join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    items = b.agg(F.max("item_id") + 1).first()[0]
+    both = d.join(b, F.col("doc_id") % items == F.col("item_id"))
     bad = X.zero_hallucinated(F.col("text"), F.col("truth"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("zeros"), F.round(100.0 * F.count_if(bad) / F.count(F.lit(1)), 4).alias("zero_rate"), F.count_if(F.lower("text").contains("catalog") & F.lower("truth").contains("catalyze")).alias("drifts"))
 
@@ -506,9 +573,26 @@ def forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.forbidden(F.col("text"))).alias("n_issues"))
 
 
-@query()
+SLIPS = ["I saw  the end.next one", "teh cat and hte dog", "All is well.", "i think. so it is", "two   blanks nad more", "He said: I  am"]
+SLIPS_SQL = "['" + "', '".join(SLIPS) + "']"
+AT = "regexp_matches(substr(text, i), '^{}')"
+BOUND = "(i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9_]'))"
+
+
+def slips_sql() -> str:
+    """(event_id, offset, length, kind): places at which a pattern starts, tried at every character."""
+    parts = []
+    for pattern, kind, before in ((r"([Ii])\s+([a-z])", "Missing uppercase after ''I''", BOUND), (r"\s{2,}", "Multiple spaces", "(i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '\\s'))"), (r"(\w)\.\s*([a-z])", "Missing uppercase after period", "true"), (r"(teh|hte|adn|nad)\b", "Common misspelling", BOUND)):
+        found = f"regexp_extract(substr(text, i), '^{pattern}')"
+        parts.append(f"SELECT event_id, CAST(i - 1 AS INT) AS \"offset\", CAST(length({found}) AS INT) AS length, '{kind}' AS kind FROM t WHERE {found} <> '' AND {before}")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH t AS (SELECT event_id, text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT event_id, {SLIPS_SQL}[event_id % {len(SLIPS)} + 1] || ' ' || event_type AS text FROM events)) {slips_sql()}")
 def grammar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.spans(table(spark, sf_dir, "conversations").filter("text is not null").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", spans.grammar_errors)
+    said = F.element_at(F.array(*[F.lit(x) for x in SLIPS]), (F.col("event_id") % len(SLIPS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(said, F.lit(" "), "event_type").alias("text"))
+    return spans.spans(rows, "event_id", spans.grammar_errors).drop("context")
 
 
 # --- lexicon ----------------------------------------------------------------------------------------------------------
@@ -534,9 +618,14 @@ def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.unknown_words(table(spark, sf_dir, "documents"), benchmark_words(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH lex AS {LEX}, w AS (SELECT DISTINCT lower(p_name) AS query FROM part UNION SELECT DISTINCT lower(n_name) FROM nation) SELECT query, word, levenshtein(query, word) AS distance, row_number() OVER (PARTITION BY query ORDER BY levenshtein(query, word), word) AS place FROM w JOIN lex ON levenshtein(query, word) <= 2")
+# words of the documents with their first letter changed
+CHANGED = r"(SELECT DISTINCT CASE WHEN word LIKE 'q%' THEN 'x' ELSE 'q' END || substr(word, 2) AS query FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '([\p{L}\p{N}\p{M}\p{Pc}]+)', 1), lambda w: regexp_matches(w, '^[a-z]+$'))) AS word FROM documents))"
+
+
+@query(f"WITH lex AS {LEX}, w AS {CHANGED} SELECT query, word, levenshtein(query, word) AS distance, row_number() OVER (PARTITION BY query ORDER BY levenshtein(query, word), word) AS place FROM w JOIN lex ON abs(length(query) - length(word)) <= 2 AND levenshtein(query, word) <= 2")
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "part").select(F.col("p_name").alias("query")).union(table(spark, sf_dir, "nation").select("n_name"))
+    own = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b([a-z]+)\b"), 1)).alias("word")).distinct()
+    asked = own.select(F.concat(F.when(F.col("word").startswith("q"), "x").otherwise("q"), F.col("word").substr(F.lit(2), F.length("word"))).alias("query"))
     return lexicon.similar(asked, benchmark_words(spark, sf_dir), 2).select("query", "word", "distance", "place")
 
 
@@ -548,9 +637,19 @@ def prefix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.with_prefix(spark.createDataFrame([(p,) for p in PREFIXES], "query string"), benchmark_words(spark, sf_dir)).select("query", "word", "place")
 
 
-@query()
+CORE = r"'^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$'"
+FOLD = lambda x: f"translate({x}, '{ACCENTED}', {BYTES})"
+
+
+@query(
+    f"""WITH lex AS {LEX}, t AS (SELECT conv_id * 1000 + turn AS id, {words_sql("coalesce(text, '')")} AS w FROM conversations), u AS (SELECT id, unnest(w) AS whole, generate_subscripts(w, 1) AS pos FROM t), p AS (SELECT *, regexp_extract(whole, {CORE}, 1) AS head, regexp_extract(whole, {CORE}, 2) AS core, regexp_extract(whole, {CORE}, 3) AS tail FROM u),
+s AS (SELECT DISTINCT lower(core) AS query FROM p WHERE core <> '' AND lower(core) NOT IN (SELECT word FROM lex)), n AS (SELECT query, arg_min(word, (levenshtein({FOLD('query')}, word), word)) AS best FROM s JOIN lex ON abs(length(query) - length(word)) <= 1 AND levenshtein({FOLD('query')}, word) <= 1 GROUP BY 1),
+m AS (SELECT p.*, best, sum(CASE WHEN best IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS used FROM p LEFT JOIN n ON lower(core) = query),
+c AS (SELECT id, string_agg(head || CASE WHEN best IS NULL OR used > 5 THEN core WHEN upper(core) = core AND lower(core) <> core THEN upper(best) WHEN upper(core[1]) = core[1] AND lower(core[1]) <> core[1] THEN upper(best[1]) || lower(substr(best, 2)) ELSE best END || tail, ' ' ORDER BY pos) AS corrected FROM m GROUP BY 1)
+SELECT t.id, coalesce(corrected, '') AS corrected FROM t LEFT JOIN c ON t.id = c.id"""
+)
 def vocabulary_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return lexicon.correct(turns, benchmark_words(spark, sf_dir), "id")
 
 
@@ -562,9 +661,9 @@ def latex_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH lex AS {LEX}, w AS {DOC_WORDS}, c AS (SELECT doc_id, count(*) AS t, count(lex.word) AS k FROM w LEFT JOIN lex USING (word) GROUP BY 1), s AS (SELECT d.doc_id, d.source, CASE WHEN coalesce(t, 0) = 0 THEN 1.0 ELSE greatest(0, least(1, k / t * 0.3 + 0.7 - (1 - k / t) * 0.1)) END AS v FROM documents d LEFT JOIN c USING (doc_id)) SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY round(0.7 * (doc_id % 10) / 10.0 + 0.3 * v, 9) DESC, doc_id) AS rank FROM s")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    scores = lexicon.coverage(d, benchmark_words(spark, sf_dir), "doc_id").withColumn("score", F.col("score"))
-    both = d.select("doc_id", "source").join(scores.select("doc_id", "score"), "doc_id").withColumn("combined", F.round(0.7 * (F.col("doc_id") % 10) / 10.0 + 0.3 * F.col("score"), 9))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("combined"), "doc_id"))).select("doc_id", "source", "rank")
+    scores = lexicon.coverage(d, benchmark_words(spark, sf_dir), "doc_id")
+    rows = d.select("doc_id", "source", ((F.col("doc_id") % 10) / 10.0).alias("model"))
+    return lexicon.rerank(rows, scores, "doc_id", "source", "model").select("doc_id", "source", "rank")
 
 
 # --- geometry and layout ----------------------------------------------------------------------------------------------
@@ -607,12 +706,24 @@ def merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merge_close(boxes(spark, sf_dir))
 
 
-@query()
+# folds as recursive statements: one box of each page joins at each step
+OVERLAPS = f"""WITH RECURSIVE b AS (SELECT page_id, pos, y1, y2, row_number() OVER (PARTITION BY page_id ORDER BY (y1 + y2) / 2, pos) AS rn FROM ({BOXES})), f AS (SELECT page_id, pos, rn, [{{'y1': y1, 'y2': y2, 'no': 0}}] AS seen, 0 AS line_no FROM b WHERE rn = 1 UNION ALL
+SELECT page_id, pos, rn, list_append(seen, {{'y1': y1, 'y2': y2, 'no': no}}), no FROM (SELECT b.page_id, b.pos, b.rn, b.y1, b.y2, f.seen, CAST(coalesce(list_min(list_transform(list_filter(f.seen, lambda s: least(b.y2, s.y2) - greatest(b.y1, s.y1) >= 0.5 * least(b.y2 - b.y1, s.y2 - s.y1)), lambda s: s.no)), list_max(list_transform(f.seen, lambda s: s.no)) + 1) AS INT) AS no FROM f JOIN b ON b.page_id = f.page_id AND b.rn = f.rn + 1))
+SELECT page_id, pos, line_no FROM f"""
+
+
+@query(OVERLAPS)
 def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cluster_lines(boxes(spark, sf_dir)).select("page_id", "pos", "line_no")
 
 
-@query()
+MEETS = "greatest(0, least(b.x2, s.x2) - greatest(b.x1, s.x1)) * greatest(0, least(b.y2, s.y2) - greatest(b.y1, s.y1))"
+SUPPRESSED = f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, pos) AS rn FROM ({BOXES}) WHERE confidence >= 0.5), f AS (SELECT page_id, pos, rn, confidence, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept, true AS stays FROM b WHERE rn = 1 UNION ALL
+SELECT page_id, pos, rn, confidence, CASE WHEN stays THEN list_append(kept, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE kept END, stays FROM (SELECT b.*, f.kept, len(list_filter(f.kept, lambda s: {MEETS} / ((b.x2 - b.x1) * (b.y2 - b.y1) + (s.x2 - s.x1) * (s.y2 - s.y1) - {MEETS}) > 0.45)) = 0 AS stays FROM f JOIN b ON b.page_id = f.page_id AND b.rn = f.rn + 1))
+SELECT page_id, pos, confidence FROM f WHERE stays"""
+
+
+@query(SUPPRESSED)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.suppress(boxes(spark, sf_dir), 0.45, 0.5).select("page_id", "pos", "confidence")
 
@@ -676,16 +787,17 @@ def left_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.size("items").cast("bigint").alias("n"), F.array_join(F.transform("items", lambda r: r["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
-@query("SELECT s_suppkey, coalesce(n_name, 'unknown') AS n_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, coalesce(n_name, 'unknown') AS n_name FROM supplier LEFT JOIN nation ON s_nationkey + 5 = n_nationkey")
 def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    names = table(spark, sf_dir, "nation").select((F.col("n_nationkey") - 5).alias("s_nationkey"), "n_name")  # the last five keys miss
     return manifest.lookup(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), names, "s_nationkey", "n_name").select("s_suppkey", "n_name")
 
 
-@query("SELECT event_id, text AS latex FROM events JOIN benchmark ON event_id % 60 = item_id")
+@query("SELECT event_id, text AS latex FROM events JOIN benchmark ON event_id % (SELECT count(*) + 20 FROM benchmark) = item_id")
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 60).alias("idx"))
-    return manifest.by_position(rows, table(spark, sf_dir, "benchmark"), "idx", "item_id").select("event_id", F.col("text").alias("latex"))
+    lines_ = table(spark, sf_dir, "benchmark")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % (lines_.count() + 20)).alias("idx"))  # some point beyond the lines
+    return manifest.by_position(rows, lines_, "idx", "item_id").select("event_id", F.col("text").alias("latex"))
 
 
 # --- documents --------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,19 @@ def build_session(master: str | None = None, app: str = "glyphmill", **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master without that setting (tests) a temporary one. Anything else would write to machines' own disks."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="glyphmill-")
+    return _own_folder
