@@ -2,51 +2,93 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.session import shared_folder
+
 #: Rows in an Arrow batch; whole texts are long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
-_own_dir: str | None = None
-_staged: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) one of our own where it is unset."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="glyphmill-")
-    return _own_dir
+#: ... and bytes, so that very long texts come a few at a time.
+BATCH_BYTES = 16 << 20
+#: Rows of the table that tells touched keys from others, of 64 bits each: its proven bound, whatever the size of the data.
+WORDS = 1 << 18
+_scopes: dict[str, list[str]] = {"": []}
+_scope = ""
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables staged within can be deleted together, by `drop_staged(spark, name)`."""
+    global _scope
+    before, _scope = _scope, name
+    _scopes.setdefault(name, [])
+    try:
+        yield
+    finally:
+        _scope = before
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path."""
+    path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation above it."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table, path = written(df, name)
+    _scopes[_scope].append(path)
+    return table
+
 
+def replaced(df: DataFrame, name: str) -> DataFrame:
+    """As staged, for a table that takes the place of the last one staged, which only it reads: that one is deleted."""
+    last = _scopes[_scope].pop()
+    table = staged(df, name)
+    delete(df.sparkSession, last)
+    return table
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete this process's staged tables; call it once the results that read them are written."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_staged(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables staged in a scope; call it once the results that read them are written."""
+    paths, _scopes[name] = _scopes.get(name, []), []
+    delete(spark, *paths)
+
+
+def told_apart(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(touched, rest): rest holds rows whose key is surely not among the keys, touched all the others.
+
+    One plan at every size: the keys' hashes set bits in a table of at most WORDS rows, which is broadcast (some 16 MB at most). Rows of rest need not move for a join with the keys;
+    touched ones are then joined exactly. The fuller the table, the more rows are touched in vain (an eighth at two million keys); none is ever lost. Rows without a key are in rest."""
+    h = F.xxhash64(F.lit("touched"), F.col(key))
+    word, bit = F.pmod(h, F.lit(WORDS)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+    one = keys.filter(F.col(key).isNotNull()).select(word.alias("_word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64('touched', `{key}`), 58) as int))").alias("_bit"))
+    bits = staged(one.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bits")
+    met = df.withColumn("_at", word).withColumn("_place", bit).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, _place) & 1L") == 1, F.lit(False)) & F.col(key).isNotNull()
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return met.filter(hit).select(*columns), met.filter(~hit).select(*columns)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and the bytes of an Arrow batch, unless the session already asks for fewer."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step sends every node's neighbours to the smallest one nearby, as a partial aggregate and an equi-join; after about log(n) rounds every component is
-a star around its smallest node. A node with very many links is only ever the skewed side of a join whose other side has one row per node, which
+a star around its smallest node; a round's table replaces the one before. A node with very many links is only ever the skewed side of a join whose other side has one row per node, which
 adaptive execution splits. Nothing is collected but the two sums that tell whether a round changed anything.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import staged
+from glyphmill.llm.common import replaced, staged
 
 
 def smallest(links: DataFrame) -> DataFrame:
@@ -42,5 +42,5 @@ def components(links: DataFrame) -> DataFrame:
         if not row[0] or tuple(row) == state:
             break
         state = tuple(row)
-        now = staged(small_star(large_star(now)), "links")
+        now = replaced(small_star(large_star(now)), "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_map, small_batches, staged, utf8_views, with_text
+from glyphmill.llm.common import arrow_map, small_batches, staged, told_apart, utf8_views, with_text
 from glyphmill.llm.components import components
 from glyphmill.llm.resemblance import near_copies, with_nodes
 
 SEED = 42
 RADIUS = 2
 BLOCK = 2048
-#: Up to so many ids (some 32 MB) are broadcast to leave documents out without moving texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Points of a forest that is searched at once, and pairs in flight.
 FOREST, PAIRS = 100_000, 1 << 19
 
@@ -203,12 +201,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = docs.filter("doc_id is not null")
     found = near_copies(named).withColumn("stays", F.expr("doc_id = component_id and node = first_node"))
     marks = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("stays")).filter("n > 1 or stays = 0"), "marks")
-    # ids of one row are decided by the id alone, so that no text moves; only the rows of repeated ids are looked at again
-    some = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = named.join(some(marks.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    mixed = marks.filter("n > 1 and stays > 0").select("doc_id")
-    if mixed.limit(1).count():
-        rows = with_nodes(named.join(some(mixed), "doc_id", "left_semi").select(*docs.columns), "_node")
+    # ids of one row are decided by the id alone, and texts of ids without a mark don't move; only the rows of repeated ids are looked at again
+    touched, kept = told_apart(named, marks, "doc_id")
+    mark = marks.select(F.col("doc_id").alias("_of"), F.col("n").alias("_n"), F.col("stays").alias("_stays"))
+    touched = touched.join(mark.hint("merge"), F.col("doc_id") == F.col("_of"), "left")
+    kept = kept.unionByName(touched.filter("_of is null").select(*docs.columns))
+    if marks.filter("n > 1 and stays > 0").limit(1).count():
+        rows = with_nodes(touched.filter("_n > 1 and _stays > 0").select(*docs.columns), "_node")
         own = found.filter("stays").select(F.col("doc_id").alias("_of"), F.col("node").alias("_first")).distinct()
         rows = rows.join(own, (F.col("doc_id") == F.col("_of")) & (F.col("_node") == F.col("_first"))).select(*docs.columns, "_node")
         rest = F.struct(*[rows[f"`{c}`"] for c in docs.columns if c != "doc_id"])

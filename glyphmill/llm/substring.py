@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_map, staged
+from glyphmill.llm.common import arrow_map, staged, told_apart
 
 MOST_WORDS, LEAST_WORDS, QUIET_WORDS = 16, 16, 1
 #: A cut's share of word starts, of character starts inside long words, and what a long word is (bytes).
 WORD_RATE, CHAR_RATE, LONG_WORD = 1 / 4, 1 / 32, 64
 #: Texts are told apart by so many bits of their hash; the other 40 of the number are the place.
 PLACE_BITS = 40
-#: Up to so many spans (some 32 MB with their documents' ids) are broadcast, so that texts need not move; more are joined by a shuffle.
-BROADCAST_SPANS = 500_000
 
 
 def gear_table() -> np.ndarray:
@@ -145,10 +143,11 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) != F.col("start"), F.lit(True))
     runs = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     by_source = runs.groupBy("doc_id", "tag", "run", "first_doc").agg(F.min("start").alias("start"), F.sum("size").alias("length"), F.sum("words").alias("words"))
-    most = F.max(F.struct("words", (-F.col("first_doc")).alias("back"))).alias("most")
+    # of the sources that hold most words the smallest; ids may be numbers or texts
+    most = F.min(F.struct((-F.col("words")).alias("less"), "first_doc")).alias("most")
     spans = by_source.groupBy("doc_id", "tag", "run").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("words").alias("n_words"), most)
-    spans = spans.filter((F.col("n_words") >= least) & (2 * F.col("most.words") >= least))
-    return spans.select("doc_id", "tag", "start", "length", "n_words", (-F.col("most.back")).alias("source_doc_id"))
+    spans = spans.filter((F.col("n_words") >= least) & (-2 * F.col("most.less") >= least))
+    return spans.select("doc_id", "tag", "start", "length", "n_words", F.col("most.first_doc").alias("source_doc_id"))
 
 
 def trim(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -156,7 +155,9 @@ def trim(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     found = staged(repeats(docs, least), "repeats")
     spans = found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cut_spans"))
     spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("tag").alias("_cut_tag"), "_cut_spans")
-    joined = docs.join(F.broadcast(spans) if found.count() <= BROADCAST_SPANS else spans, (docs["doc_id"] == F.col("_cut_id")) & (tagged() == F.col("_cut_tag")), "left").select(*docs.columns, "_cut_spans")
+    # texts of documents without a span don't move
+    touched, rest = told_apart(docs, found.select("doc_id"), "doc_id")
+    joined = touched.join(spans.hint("merge"), (F.col("doc_id") == F.col("_cut_id")) & (tagged() == F.col("_cut_tag")), "left").select(*docs.columns, "_cut_spans")
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     text_at = docs.columns.index("text")
 
@@ -182,4 +183,4 @@ def trim(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         out = pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
         return out if keep.all() else out.filter(pa.array(keep))
 
-    return arrow_map(joined, docs.schema, work)
+    return arrow_map(joined, docs.schema, work).unionByName(rest)

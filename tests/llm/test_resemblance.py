@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from glyphmill.llm import resemblance, simhash
 
 
@@ -47,20 +50,27 @@ def test_components_match_all_pairs(spark, make, prose):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
-def test_members_far_from_their_bucket_s_smallest(spark):
-    """A pair that meets only in a bucket whose smallest member is near neither of them is still linked."""
-    import numpy as np
-
-    s = np.arange(1, 101, dtype=np.uint64)
-    sets = {-5: s[:60], 3: s, 9: s[:90]}  # 0.6 and 0.67 to the smallest, 0.9 to each other
-    rows = [(i, node, len(x), [7], x.tobytes()) for i, (node, x) in enumerate(sets.items())]
-    prints = spark.createDataFrame(rows, "doc_id long, node long, n int, keys array<bigint>, hashes binary")
-    assert {(r.node, r.root) for r in resemblance.near_sets(prints).collect()} == {(3, 3), (9, 3)}
+def test_members_far_from_their_bucket_s_smallest(spark, make, prose, monkeypatch):
+    """A pair that meets only in a bucket whose smallest member is near neither of them is still linked; blocks of one member or many give the same."""
+    rng = random.Random(14)
+    while True:
+        base = prose(rng, 104)
+        texts = [" ".join(base.split()[:64]), base, " ".join(base.split()[:94])]  # 0.6 and 0.67 to the first, 0.9 to each other
+        nodes = [int(np.array(resemblance.node_of(resemblance.shingle_set(t.encode())), np.uint64).view(np.int64)) for t in texts]
+        if nodes[0] == min(nodes):
+            break
+    docs = make(texts)
+    points = resemblance.shingled(docs).withColumnRenamed("doc_id", "first_id").withColumn("keys", F.array(F.lit(7).cast("bigint")))
+    for block in (512, 1):
+        monkeypatch.setattr(resemblance, "BLOCK", block)
+        assert {(r.node, r.root) for r in resemblance.near_sets(points, docs).collect()} == {(n, min(nodes[1:])) for n in nodes[1:]}
 
 
 def test_edges(spark, make):
     assert resemblance.near_copies(make(["x"]).limit(0)).count() == 0
     assert [r.component_id for r in resemblance.near_copies(make(["a b", "a b"], ids=[None, 4])).collect()] == [4, 4]
+    text = " ".join(f"w{i}" for i in range(60))
+    assert [r.component_id for r in resemblance.near_copies(make([text, text + " x", text + " y z"], ids=[None, 7, None])).collect()] == [7, 7, 7]
 
 
 def test_rows_of_one_id_are_decided_apart(spark, make, prose):
