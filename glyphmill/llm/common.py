@@ -91,10 +91,22 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """df through work, one Arrow batch at a time; empty batches are skipped."""
+#: What operators remember in a worker from batch to batch: how to forget it, by name.
+memos: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(name: str = "") -> None:
+    """A worker that serves one operator after another keeps the memory of the one at work only."""
+    for other, clear in memos.items():
+        if other != name:
+            clear()
+
+
+def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], memo: str = "") -> DataFrame:
+    """df through work, one Arrow batch at a time; empty batches are skipped. memo: the name of what work remembers."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(memo)
         for batch in source:
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out

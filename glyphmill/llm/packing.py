@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import small_batches, with_text
+from glyphmill.llm.common import forget_others, memos, small_batches, with_text
 
 TIERS = (2048, 1024, 512, 256)
 #: Units that a worker remembers in each of two generations; when the young one is full it becomes the old one.
@@ -52,6 +52,7 @@ DOUBLE = re.compile(r"\s\s")
 #: Pieces that wait to be packed; beyond, the waiting ones are packed.
 WAITING = 4000
 _encoders: dict[str, "UnitEncoder"] = {}
+memos["packing"] = _encoders.clear
 
 
 class UnitEncoder:
@@ -210,6 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("packing")
         encoder = UnitEncoder.of(tokenizer)
         packer = Packer(tiers, TaskContext.get().partitionId() << 36, step_tokens)
         held: dict[int, list] = {}  # number -> [doc_id, ids, tokens not yet packed]

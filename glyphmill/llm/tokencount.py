@@ -25,12 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import arrow_map, with_text
+from glyphmill.llm.common import arrow_map, memos, with_text
 
 SPACE = "▁"
 #: Segments that a worker remembers in each of two generations; when the young one is full it becomes the old one.
 MEMO = 400_000
 _models: dict[str, "PrefixCounter"] = {}
+memos["tokencount"] = _models.clear
 
 
 class PrefixCounter:
@@ -200,7 +201,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, tokens, pc.greater(tokens, limit), pa.array(kept, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_chars"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(with_text(docs, "doc_id"), f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean, kept_chars bigint", work)
+    return arrow_map(with_text(docs, "doc_id"), f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean, kept_chars bigint", work, "tokencount")
 
 
 def prefix_tables(docs: DataFrame, model: str) -> DataFrame:
@@ -212,4 +213,4 @@ def prefix_tables(docs: DataFrame, model: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "n_chars", "counts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(with_text(docs, "doc_id"), f"doc_id {id_type}, n_chars bigint, counts array<int>", work)
+    return arrow_map(with_text(docs, "doc_id"), f"doc_id {id_type}, n_chars bigint, counts array<int>", work, "tokencount")
