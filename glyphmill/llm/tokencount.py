@@ -8,7 +8,8 @@ many tokens are these first n characters" are then look-ups.
 
 No piece of the vocabulary spans the start of a white-space run, so the table of a text is the
 concatenation of the tables of its segments (a run of spaces and the characters up to the
-next one), each shifted by the tokens before it; segments repeat and are looked up in a bounded memo.
+next one), each shifted by the tokens before it; segments repeat and are looked up in a memo whose bytes are bounded.
+The model is checked once in each worker: it must leave texts as they are (no normalization, a blank before the text) and no piece may span a blank.
 
 Null texts count as empty (no tokens); an empty text has no prefix. Repeated rows give repeated
 results, an empty table gives an empty one, other columns are not read.
@@ -30,6 +31,8 @@ from glyphmill.llm.common import arrow_map, memos, with_text
 SPACE = "▁"
 #: Segments that a worker remembers in each of two generations; when the young one is full it becomes the old one.
 MEMO = 400_000
+#: Longer segments (texts without blanks) are not remembered, so that a generation holds at most MEMO * (5 * LONGEST + 200) bytes.
+LONGEST = 64
 _models: dict[str, "PrefixCounter"] = {}
 memos["tokencount"] = _models.clear
 
@@ -44,6 +47,8 @@ class PrefixCounter:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.joins: dict[tuple[str, str], bool] = {}
+        if any(SPACE in p.lstrip(SPACE) for p in self.rank) or [self.sp.encode(t, out_type=str) for t in ("\u2460", " a")] != [[SPACE, "\u2460"] if "\u2460" in self.rank else [SPACE, "<0xE2>", "<0x91>", "<0xA0>"], self.sp.encode("\u2581a", out_type=str)]:
+            raise ValueError(f"{path} normalizes texts or has pieces that span blanks")
 
     @classmethod
     def of(cls, path: str) -> "PrefixCounter":
@@ -170,13 +175,14 @@ class PrefixCounter:
         tables = [list(map(young.get, c)) for c in cut]
         fresh = {s for c, found in zip(cut, tables, strict=True) if None in found for s, b in zip(c, found, strict=True) if b is None}
         young |= {s: old[s] for s in fresh if s in old}
-        young |= {s[1:]: b for s, b in self.learn({SPACE + s for s in fresh if s not in young}).items()}
+        once = {s[1:]: b for s, b in self.learn({SPACE + s for s in fresh if s not in young}).items()}
+        young |= {s: b for s, b in once.items() if len(s) <= LONGEST}
         out = []
         for c, found in zip(cut, tables, strict=True):
             at = -1
             for _ in range(found.count(None)):
                 at = found.index(None, at + 1)
-                found[at] = young[c[at]]
+                found[at] = young[c[at]] if c[at] in young else once[c[at]]
             sizes = np.fromiter(map(len, c), np.int64, len(c)) + 1
             counts = np.frombuffer(b"".join(found), np.int32)
             totals = counts[np.cumsum(sizes) - 1].astype(np.int64)
