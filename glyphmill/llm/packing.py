@@ -4,18 +4,20 @@ Hierarchical multi-length packing, in each task over its own documents (no shuff
 
 * route: a document of n tokens is cut into whole windows of the longest tier; what is left goes to the shortest tier that holds it
   (tiers are powers of two);
-* pack: every tier opens a sequence for the longest pieces first;
-* fill: the gap of a long window is closed by pieces of shorter tiers, which are cut at the gap's end (documents may be cut freely);
-* the last open sequence of a task is cut into powers of two, which need no padding.
+* pack: each tier, the longest first, is packed into sequences of its own length, each opened by a piece of that tier;
+* fill: the gap of a window is closed by pieces of shorter tiers, the longest that fit first; where none fits, one is cut at the gap's end (documents may be cut
+  freely), and its rest is routed again; where no shorter piece is left, the next one of the same tier is cut;
+* what fills no window at a task's end is cut into powers of two, which need no padding.
 
 Tokens are those of a `tokenizers` file without special tokens, then one end id. A text is encoded in units (from a single space that
 stands between two non-space characters up to the next such one): no pre-token and no added token crosses such a place, so the ids of the text
 are those of its units, and units repeat.
 
-balance: step groups hold `step_tokens` tokens each, whichever tiers they come from, and are dealt in the order of packing.
+balance: there are as many step groups as the bytes of all texts ask for at about `step_tokens` tokens each (one scan counts them). The sequences of each tier are dealt to all
+groups in turn, in each task from a start of its own, so that every group has the same share of each tier from every task: groups differ by a sequence for each task and tier at most.
 
 Null texts count as empty: such a document is the end id alone. Repeated rows are packed as often as they occur (each is cut into pieces of its own);
-empty tables give empty results; other columns are not read.
+empty tables give empty results; other columns are not read. Very long units (texts without blanks) are encoded but not remembered.
 """
 
 from __future__ import annotations
@@ -30,12 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from glyphmill.llm.common import forget_others, memos, small_batches, with_text
 
 TIERS = (2048, 1024, 512, 256)
 #: Units that a worker remembers in each of two generations; when the young one is full it becomes the old one.
 MEMO = 400_000
+#: Longer units are not remembered, so that a generation holds at most MEMO * (8 * LONGEST + 200) bytes.
+LONGEST = 64
+#: Bytes of text for each token, roughly; only the number of step groups depends on it.
+TOKEN_BYTES = 3
 #: Pre-tokens of the byte-level pattern, whatever Unicode version it knows: Latin letters, ASCII digits and marks (no apostrophe), and a line end before something else.
 PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
 
@@ -48,6 +55,7 @@ def byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = byte_chars()
+BLANK = chr(BYTE_CHARS[32])
 DOUBLE = re.compile(r"\s\s")
 #: Pieces that wait to be packed; beyond, the waiting ones are packed.
 WAITING = 4000
@@ -95,8 +103,11 @@ class UnitEncoder:
         if found is None:
             if len(self.words) > MEMO:
                 self.words.clear()
-            tokens = self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(BYTE_CHARS))
-            found = self.words[text] = array("I", [t.id for t in tokens]).tobytes()
+            plain = text.replace(" ", BLANK) if text.isascii() and text.isprintable() else text.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+            tokens = self.model.tokenize(plain)
+            found = array("I", [t.id for t in tokens]).tobytes()
+            if len(text) <= LONGEST:
+                self.words[text] = found
         return found
 
     def whole(self, unit: str) -> bytes:
@@ -115,8 +126,9 @@ class UnitEncoder:
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
             unit = rest[at]
-            ids = young.get(unit) or old.get(unit) or self.whole(" " + unit)
-            young[unit] = found[at] = ids
+            found[at] = ids = young.get(unit) or old.get(unit) or self.whole(" " + unit)
+            if len(unit) <= LONGEST:
+                young[unit] = ids
         if len(young) > MEMO:
             self.young, self.old = {}, young
         return (self.whole(first) if first else b"") + b"".join(found)
@@ -125,75 +137,71 @@ class UnitEncoder:
 class Packer:
     """Packs pieces (document, start, length) of one task; sequences leave as soon as they are full."""
 
-    def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int) -> None:
+    def __init__(self, tiers: tuple[int, ...], task: int, groups: int) -> None:
         self.tiers, self.top = sorted(tiers, reverse=True), max(tiers)
-        self.waiting: dict[int, deque] = defaultdict(deque)  # by tier
-        self.count, self.tokens = 0, 0  # of what waits
-        self.first_id, self.next_id, self.step_tokens, self.packed = first_id, first_id, step_tokens, 0
+        self.waiting: dict[int, deque] = {t: deque() for t in self.tiers}
+        self.count, self.tokens = 0, dict.fromkeys(self.tiers, 0)  # of what waits
+        self.next_id, self.groups = task << 36, groups
+        self.dealt = defaultdict(lambda: task * 7919 % groups)  # by tier: the group that gets the next sequence
         self.done: list[tuple] = []
 
+    def wait(self, doc: int, start: int, length: int, first: bool = False) -> None:
+        tier = min(t for t in self.tiers if t >= length)
+        (self.waiting[tier].appendleft if first else self.waiting[tier].append)((doc, start, length))
+        self.count += 1
+        self.tokens[tier] += length
+
+    def next(self, tier: int) -> tuple:
+        self.count -= 1
+        piece = self.waiting[tier].popleft()
+        self.tokens[tier] -= piece[2]
+        return piece
+
     def add(self, doc: int, tokens: int) -> None:
         start = 0
         while tokens - start >= self.top:
             self.emit([(doc, start, self.top)], self.top)
             start += self.top
         if tokens > start:
-            left = tokens - start
-            tier = min(t for t in self.tiers if t >= left)
-            self.waiting[tier].append((doc, start, left))
-            self.count += 1
-            self.tokens += left
+            self.wait(doc, start, tokens - start)
 
     def emit(self, pieces: list[tuple], tier: int) -> None:
-        offset = 0
-        step = self.first_id + self.packed // self.step_tokens
+        offset, group = 0, self.dealt[tier]
         for doc, start, length in pieces:
-            self.done.append((doc, start, length, self.next_id, offset, tier, step))
+            self.done.append((doc, start, length, self.next_id, offset, tier, group))
             offset += length
         self.next_id += 1
-        self.packed += offset
+        self.dealt[tier] = (group + 1) % self.groups
 
-    def shorter(self, room: int) -> tuple | None:
-        """The next piece for a gap: the longest tier that fits it, else the shortest one that there is."""
-        for tier in self.tiers:
-            if tier <= room and self.waiting[tier]:
-                return self.waiting[tier].popleft()
-        for tier in reversed(self.tiers):
-            if self.waiting[tier]:
-                return self.waiting[tier].popleft()
-        return None
+    def filler(self, tier: int, room: int) -> int | None:
+        """The tier of the next piece for a gap: the longest shorter one that fits, else the shortest one that there is, up to the window's own."""
+        below = [t for t in self.tiers if t <= tier and self.waiting[t]]
+        return next((t for t in below if t <= room and t < tier), below[-1] if below else None)
 
     def pack(self, last: bool) -> None:
-        """Pack what waits; but for the last call, stop when too little is left to fill a window."""
-        while self.count:
-            if not last and self.tokens < 2 * self.top:
-                return
-            pieces, room = [], self.top
-            while room:
-                tier = next((t for t in self.tiers if self.waiting[t]), None) if not pieces else None
-                piece = self.waiting[tier].popleft() if tier else self.shorter(room)
-                if piece is None:
-                    break
-                self.count -= 1
-                doc, start, length = piece
-                if length > room:  # cut at the gap's end; the rest waits first in its tier
-                    rest = length - room
-                    self.waiting[min(t for t in self.tiers if t >= rest)].appendleft((doc, start + room, rest))
-                    self.count += 1
-                    length = room
-                pieces.append((doc, start, length))
-                room -= length
-            self.tokens -= self.top - room
-            if room:
-                self.in_powers(pieces)
-            else:
-                self.emit(pieces, self.top)
+        """Pack each tier into its windows; but for the last call, stop when too little is left to fill the longest one."""
+        for tier in self.tiers:
+            while self.waiting[tier] and sum(n for t, n in self.tokens.items() if t <= tier) >= tier:
+                if not last and sum(self.tokens.values()) < 2 * self.top:
+                    return
+                pieces, room, take = [], tier, tier
+                while room:
+                    doc, start, length = self.next(take)
+                    if length > room:  # cut at the gap's end; the rest waits first in its tier
+                        self.wait(doc, start + room, length - room, first=True)
+                        length = room
+                    pieces.append((doc, start, length))
+                    room -= length
+                    take = self.filler(tier, room)
+                self.emit(pieces, tier)
+        if last:
+            self.in_powers([self.next(t) for t in self.tiers for _ in range(len(self.waiting[t]))])
 
     def in_powers(self, pieces: list[tuple]) -> None:
-        """The last, partly filled window as sequences whose lengths are powers of two."""
+        """What fills no window as sequences whose lengths are powers of two."""
         total, queue = sum(p[2] for p in pieces), deque(pieces)
         while total:
-            size = room = 1 << (total.bit_length() - 1)
+            size = room = min(self.top, 1 << (total.bit_length() - 1))
             part = []
             while room:
                 doc, start, length = queue.popleft()
@@ -206,14 +214,20 @@ class Packer:
             total -= size
 
 
+def step_count(docs: DataFrame, step_tokens: int) -> int:
+    """Step groups of about step_tokens tokens for all documents, by their bytes."""
+    size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    return max(1, round(((size[0] or 0) / TOKEN_BYTES + size[1]) / step_tokens))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20) -> DataFrame:
-    """One row for each piece. sequence_id and step_group are unique across tasks (the task's number stands in the upper bits)."""
+    """One row for each piece. sequence_id is unique across tasks (the task's number stands in the upper bits); tier is the sequence's length, step_group the group it is dealt to."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("packing")
         encoder = UnitEncoder.of(tokenizer)
-        packer = Packer(tiers, TaskContext.get().partitionId() << 36, step_tokens)
+        packer = Packer(tiers, TaskContext.get().partitionId(), groups)
         held: dict[int, list] = {}  # number -> [doc_id, ids, tokens not yet packed]
         number = 0
 
@@ -247,6 +261,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
         if (out := flush()) is not None:
             yield out
 
+    groups = step_count(docs, step_tokens)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
