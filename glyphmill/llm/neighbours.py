@@ -2,21 +2,23 @@
 
 Every tree hashes a vector to a string of BITS bits, one for each random hyperplane (through the mean of a bounded sample), and keeps a sorted array of these strings. A
 query descends in each tree to the entries that share its longest prefix; then all trees ascend together, one bit at a time, so that
-shorter prefixes add candidates, until the sum over the trees reaches `candidates` times the shard's rows (and LEAST). Distances are then exact, in double precision, on the original vectors.
+shorter prefixes add candidates, until the sum over the trees reaches `candidates` times the shard's rows (and `least`). Distances are then exact, in double precision, on the original vectors.
 
 Layout: equal vectors are one entry that keeps the ids that can matter (the smallest k + 1, by a rank limit that Spark applies before the
-shuffle), so thousands of copies cost no more than one. Entries are dealt to shards of about SHARD rows by hash; each shard builds its own forest, in one task, and its vectors never move again. Queries
-are a stated set; they come in blocks of at most QUERIES rows, each broadcast (a bound of QUERIES * dim * 8 bytes). A shard returns k rows for each query; the best k over the shards are taken
-by the same rank limit.
+shuffle), so thousands of copies cost no more than one. Entries are dealt to cells of about `shard` rows by the sides they take of a few orthogonal hyperplanes (main directions
+and medians of the sample); a cell with more rows is split by hash. Each part builds its own forest, in one task.
+
+Queries (a stated set, of any number) go to parts through the shuffle, not through the driver. In a first round each meets its own cell, which bounds the distance of its k-th neighbour from above; the
+violated hyperplanes bound the distance to every other cell from below, and only cells that can hold something nearer are met in the second round. No neighbour is lost that way: on
+clustered vectors few cells are met, on vectors without structure nearly all. A part with over QUERIES queries is copied, so that no task grows with them; a task holds one part and streams its queries.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part. Ties go to the smaller vec_id; repeated rows
-(the same vec_id) count once. Empty tables give empty results; other columns are not read.
+count once, and so does an id with several vectors (as a neighbour its nearest one counts, as a query its smallest). Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import staged
+from glyphmill.llm.common import arrow_map, forget_others, small_batches, staged
 
 TREES, BITS = 128, 32
 #: Share of a shard's rows that the prefixes of all trees must add up to before a query's ascent ends (rows count once for each tree that reaches them).
 CANDIDATES = 0.8
 #: ... and at least that many, which small shards reach only near their roots.
 LEAST = 8192
-#: Rows of a shard, queries of a block, vectors sampled for the mean.
-SHARD, QUERIES, SAMPLE = 16_384, 4096, 4096
+#: Rows of a part, queries of one copy of it, vectors sampled for mean and directions, hyperplanes that make cells at most, queries searched at once.
+SHARD, QUERIES, SAMPLE, SPLITS, AT_ONCE = 16_384, 65_536, 4096, 24, 256
+#: Tasks of a search at most; beyond, a task serves several parts, one after another.
+TASKS = 100_000
 SEED = 7
 
 
@@ -99,23 +103,47 @@ def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((diff * diff).sum(1))
 
 
-def search_shard(ids: list[list[int]], vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int, candidates: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score): the k nearest of the shard for each query, but for the query's own id."""
-    forest = PrefixForest(vectors, centre)
-    least = max(LEAST, int(candidates * len(vectors)))
+def search_part(forest: PrefixForest, ids: list[list[int]], vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: int) -> list[tuple[int, int, float]]:
+    """(query_id, vec_id, score): the k nearest ids of the part for each query, but for the query's own."""
     out: list[tuple[int, int, float]] = []
     for q, rows in enumerate(forest.candidates(queries, least)):
         d = distances(queries[q], vectors[rows])
-        if len(rows) > k + 1:  # ties at the border stay
-            border = np.partition(d, k)[k]
-            near = np.flatnonzero(d <= border)
-        else:
-            near = np.arange(len(rows))
-        own = query_ids[q]
-        found = sorted((d[i], vec) for i in near for vec in ids[rows[i]] if vec != own)[:k]
-        out += [(own, vec, score) for score, vec in found]
-    cols = list(zip(*out, strict=True)) or [(), (), ()]
-    return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], np.float64)
+        own, found, n = int(query_ids[q]), {}, k + 1
+        while True:  # the nearest n rows and their ties; more only where ids recur with several vectors
+            near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1]) if len(rows) > n else np.arange(len(rows))
+            for i in near:
+                for vec in ids[rows[i]]:
+                    if vec != own and d[i] < found.get(vec, np.inf):
+                        found[vec] = d[i]
+            if len(found) >= k or len(near) == len(rows):
+                break
+            n *= 2
+        out += [(own, vec, score) for score, vec in sorted((score, vec) for vec, score in found.items())[:k]]
+    return out
+
+
+class Cells:
+    """Cells of space: the sides of orthogonal hyperplanes, as bits."""
+
+    def __init__(self, sample: np.ndarray, splits: int) -> None:
+        self.centre = sample.mean(0)
+        splits = min(splits, *sample.shape)
+        self.axes = np.linalg.svd(sample - self.centre, full_matrices=False)[2][:splits]
+        self.middle = np.median((sample - self.centre) @ self.axes.T, axis=0)
+
+    def margins(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors - self.centre) @ self.axes.T - self.middle
+
+    def of(self, margins: np.ndarray) -> np.ndarray:
+        return (margins > 0) @ (1 << np.arange(len(self.axes), dtype=np.int64))
+
+    def reach(self, margins: np.ndarray, bound: float) -> np.ndarray:
+        """The cells that come within the bound of a vector: the violated hyperplanes are orthogonal, so the squares of their margins add up."""
+        cells, cost = self.of(margins[None]), np.zeros(1)
+        for bit, square in enumerate(margins * margins):
+            near = cost + square <= bound * bound * (1 + 1e-9)  # rounding must not lose a cell
+            cells, cost = np.concatenate((cells, cells[near] ^ (1 << bit))), np.concatenate((cost, cost[near] + square))
+        return cells
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -123,7 +151,7 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", candidates: float = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", candidates: float = CANDIDATES, least: int = LEAST, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, nearest first."""
     spark = vectors.sparkSession
     rows = vectors.filter(usable(vector) & F.col(vec_id).isNotNull())
@@ -140,32 +168,90 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     # repeated rows are one before the rank
     copies = first_by(rows.select("vec_id", "v").distinct().withColumn("key", F.xxhash64("v")), ["key", "v"], [F.col("vec_id")], k + 1)
     entries = staged(copies.groupBy("key", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
-    queries = staged(rows.filter("asked").groupBy("vec_id").agg(F.first("v").alias("v")), "queries")
-    sample = entries.orderBy("key").select("v").limit(SAMPLE)  # a fit on a bounded sample
-    centre = np.array([r.v for r in sample.collect()]).reshape(-1, dim).mean(0)
-    shards = max(1, -(-total // SHARD))
-    asked = queries.count()
-    blocks = max(1, -(-asked // (QUERIES // 2)))
-    dealt = entries.select("ids", "v", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard")
-    found = []
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        part = part.collect()
-        for at in range(0, len(part), QUERIES):  # the bound holds whatever the hash does
-            own = part[at : at + QUERIES]
-            sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in own]), np.array([r.v for r in own]).reshape(-1, dim)))
-            found.append(dealt.groupBy("shard").applyInArrow(shard_search(sent, centre, k, candidates), "query_id bigint, vec_id bigint, score double"))
-    if not found:
-        return spark.createDataFrame([], schema)
-    best = first_by(reduce(DataFrame.unionAll, found), ["query_id"], [F.col("score"), F.col("vec_id")], k)
+    queries = staged(rows.filter("asked").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    sample = np.array([r.v for r in entries.orderBy("key").select("v").limit(SAMPLE).collect()]).reshape(-1, dim)  # a fit on a bounded sample
+    cells = Cells(sample, min(SPLITS, max(0, int(np.ceil(np.log2(max(1, total / shard)))))))
+
+    def placed(table: DataFrame, keep: str, kind: str) -> DataFrame:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            return pa.RecordBatch.from_arrays([batch.column(keep), batch.column("v"), pa.array(cells.of(cells.margins(v)))], [keep, "v", "cell"])
+
+        return arrow_map(table.select(keep, "v"), f"{keep} {kind}, v array<double>, cell bigint", work)
+
+    dealt = staged(placed(entries, "ids", "array<bigint>"), "dealt")
+    parts = staged(dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts")).withColumnRenamed("cell", "of"), "parts")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) from (query_id, v, cell): the k nearest of every part of the cells named."""
+        met = asked.join(parts.hint("merge"), F.col("cell") == F.col("of")).select("query_id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        copies = met.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
+        copies = staged(copies.withColumnsRenamed({"cell": "in_cell", "part": "in_part"}), "copies")
+        inside = (F.col("cell") == F.col("in_cell")) & (F.col("part") == F.col("in_part"))
+        part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+        held = dealt.join(parts.hint("merge"), F.col("cell") == F.col("of")).select("ids", "v", "cell", part.alias("part")).join(copies.hint("merge"), inside)
+        held = held.select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("query_id"), "ids", "v")
+        met = met.join(copies.hint("merge"), inside)
+        met = met.select("cell", "part", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "query_id", F.lit(None).cast("array<bigint>").alias("ids"), "v")
+        tasks = max(1, min(TASKS, int(copies.agg(F.sum("copies")).first()[0] or 0)))
+        units = held.unionByName(met).withColumn("unit", F.xxhash64("cell", "part", "copy")).drop("cell", "part", "copy")
+        small_batches(spark)
+        return units.repartition(tasks, "unit").sortWithinPartitions("unit", "kind").mapInArrow(part_search(cells.centre, dim, k, candidates, least), "query_id bigint, vec_id bigint, score double")
+
+    own = placed(queries.withColumnRenamed("vec_id", "query_id"), "query_id", "bigint")
+    first = staged(searched(own), "first")
+    found = first
+    if len(cells.axes):
+        best = first_by(first, ["query_id"], [F.col("score"), F.col("vec_id")], k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+        bound = queries.withColumnRenamed("vec_id", "query_id").join(best.filter(F.col("n") == k).select("query_id", "score"), "query_id", "left")
+
+        def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                most = batch.column("score").fill_null(float("inf")).to_numpy(zero_copy_only=False)
+                for i, (m, b) in enumerate(zip(cells.margins(v), most, strict=True)):
+                    reached = cells.reach(m, b)[1:]  # but for its own
+                    for at in range(0, len(reached), 4096):
+                        part = pa.array(reached[at : at + 4096])
+                        same = pa.array(np.full(len(part), i))
+                        yield pa.RecordBatch.from_arrays([batch.column("query_id").take(same), batch.column("v").take(same), part], ["query_id", "v", "cell"])
+
+        found = first.unionByName(searched(staged(bound.mapInArrow(beyond, "query_id bigint, v array<double>, cell bigint"), "beyond")))
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = first_by(once, ["query_id"], [F.col("score"), F.col("vec_id")], k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def shard_search(sent, centre: np.ndarray, k: int, candidates: float):
-    def run(table: pa.Table) -> pa.Table:
-        query_ids, queries = sent.value
-        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        cols = search_shard(table.column("ids").to_pylist(), vectors, query_ids, queries, centre, k, candidates)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
+def part_search(centre: np.ndarray, dim: int, k: int, candidates: float, least: int):
+    """Over rows sorted by (unit, kind): a unit's entries make a forest, which its queries then meet batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        unit, ids, held, forest, vectors = None, [], [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "kind"))
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            out: list[tuple[int, int, float]] = []
+            edges = np.flatnonzero((np.diff(units) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, len(units)], strict=True):
+                if units[a] != unit:
+                    unit, ids, held, forest = units[a], [], [], None
+                if kinds[a] == 0:
+                    ids += batch.column("ids").slice(a, b - a).to_pylist()
+                    held.append(v[a:b])
+                    continue
+                if forest is None:
+                    if not held:  # a query whose cell has no entry
+                        continue
+                    vectors = np.concatenate(held)
+                    forest = PrefixForest(vectors, centre)
+                asked = batch.column("query_id").to_numpy(zero_copy_only=False)
+                for at in range(a, b, AT_ONCE):
+                    end = min(b, at + AT_ONCE)
+                    out += search_part(forest, ids, vectors, asked[at:end], v[at:end], k, max(least, int(candidates * len(vectors))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     return run

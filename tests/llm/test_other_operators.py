@@ -63,6 +63,46 @@ def test_forest_recall():
 URLS = ["http://a.example.net/en/1", "http://a.example.net/fr/1", "HTTP://X.Example.COM/de/9?q#f", "https://example.com/en/", "http://org/fr/x", "http://www.org/fr/x", "http://example.org?x=/fr/", "http://net", "http://badnet/", None, "no scheme", "", "://h/p", "http://free-casino.example.com/1?id=1&sid=2"]
 
 
+def test_recall_over_many_parts(spark):
+    """Clustered and random vectors over at least four cells: recall against brute force, ids with several vectors, parts that are split and copied."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16)) * 6
+    for kind, x in (("clustered", centres[rng.integers(0, 12, 2400)] + rng.standard_normal((2400, 16)) * 0.5), ("random", rng.standard_normal((2400, 16)))):
+        ids = np.arange(len(x))
+        ids[-1] = 5  # an id with two vectors
+        x = x.astype(np.float32).astype(np.float64)
+        rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+        found = neighbours.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, k=5, candidates=1.6, least=64, shard=300).collect()
+        hit = total = 0
+        for q in range(0, 2400, 100):
+            near = {}
+            for i, d in zip(ids, np.sqrt(((x - x[q]) ** 2).sum(1)), strict=True):
+                if i != q:
+                    near[int(i)] = min(d, near.get(int(i), np.inf))
+            want = sorted(near, key=lambda i: (near[i], i))[:5]
+            got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+            assert [r for r, _, _ in got] == [1, 2, 3, 4, 5] and len({v for _, v, _ in got}) == 5
+            assert all(abs(near[v] - score) < 1e-9 for _, v, score in got)
+            hit, total = hit + len({v for _, v, _ in got} & set(want)), total + 5
+        assert hit / total >= 0.9, kind
+
+
+def test_cells_that_can_hold_something_nearer(spark):
+    """No cell within the bound is left out, and clustered vectors leave most cells out."""
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((16, 8)) * 8)[rng.integers(0, 16, 2000)] + rng.standard_normal((2000, 8)) * 0.2
+    cells = neighbours.Cells(x[:500], 5)
+    margins = cells.margins(x)
+    own, shares = cells.of(margins), []
+    for q in range(0, 2000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        bound = np.sort(d)[10]
+        reached = cells.reach(margins[q], bound)
+        assert len(set(reached.tolist())) == len(reached) and set(own[d <= bound].tolist()) <= set(reached.tolist())
+        shares.append(len(reached) / 32)
+    assert np.mean(shares) < 0.25
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(URLS)], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("length", F.lit(2))
     got = {r.page_id: r for r in urls.judge(pages, urls.seed_labels(spark)).collect()}
