@@ -3,12 +3,13 @@
 Every document has a hash; each source takes the documents below its threshold. Thresholds come from nested histograms: sums of sizes by (source, upper
 hash bits), aggregated before the shuffle; the bucket in which the cumulative size passes the target is the only one refined, by the next
 bits, LEVELS times (36 bits: then a bucket is a document or equal rows). What is still wanted below that document goes to the one document beyond
-the threshold whose size fits best, if that comes nearer to the target. No document is sorted. A target above the source's size takes every document once, and again those below the threshold for the rest.
+the threshold whose size fits best (the least difference first, then the least hash that has it: two aggregates that hash), if that comes nearer to the target. No document is sorted. A target above the source's size takes every document once, and again those below the threshold for the rest.
 
 Weights are dealt to the sources in order of their code points, null last; targets stop at `most` times the source's size, and the excess
 goes to the others by weight until none is above. Both need a row for each source only.
 
-Null texts have size 0, and so are never taken. Equal rows (same doc_id and text) share a hash and are taken together. The number of sources is small
+The hash is the upper 60 bits of an MD5, so that other engines can recompute the mix. Null texts have size 0, and so are never taken. Very long texts are counted whole; empty tables give
+empty results; other columns are not read (`repeat_taken` hands them on). Equal rows (same doc_id and text) share a hash and are taken together. The number of sources is small
 against the documents; thresholds are broadcast only where at most BROADCAST_SOURCES rows were counted.
 """
 
@@ -22,7 +23,7 @@ from glyphmill.llm.common import staged
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-BITS, LEVELS = 12, 3
+BITS, LEVELS, HASH_BITS = 12, 3, 60
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,13 +57,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def spread(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The hash that thresholds apply to."""
-    return F.xxhash64(F.lit("mix"), doc_id, text)
+    """The hash that thresholds apply to: HASH_BITS bits."""
+    named = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def upper(h: Column, level: int) -> Column:
     """The first BITS * level bits of a hash, as a number."""
-    return F.shiftrightunsigned(h, 64 - BITS * level) if level else F.lit(0).cast("long")
+    return F.shiftright(h, HASH_BITS - BITS * level) if level else F.lit(0).cast("long")
 
 
 def thresholds(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, int]:
@@ -88,8 +90,11 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...], share: float, most: i
     # what is still wanted goes to the one document beyond the threshold that fits best, if that comes nearer
     last = edges.filter("want > 0").select(F.col("id").alias("of"), F.col("edge").alias("bound"), (F.col("want") - F.col("under")).alias("gap"))
     beyond = mixed.join(small(last, n), (F.col("id") == F.col("of")) & (upper(F.col("h"), LEVELS) >= F.col("bound")))
-    fits = beyond.filter("size > 0").groupBy("id", "bound", "gap").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "h")).alias("fit"))
-    fits = staged(fits.select(F.col("id").alias("of"), "bound", "gap", F.col("fit.h").alias("extra")), "fits")
+    off = F.abs(F.col("gap") - F.col("size"))
+    beyond = beyond.filter("size > 0").select("id", "bound", "gap", off.alias("off"), "h")
+    nearest = staged(beyond.groupBy("id").agg(F.min("off").alias("least")).withColumnRenamed("id", "_id"), "nearest")
+    fits = beyond.join(small(nearest, n), (F.col("id") == F.col("_id")) & (F.col("off") == F.col("least"))).groupBy("id", "bound", "gap").agg(F.min("h").alias("extra"))
+    fits = staged(fits.withColumnRenamed("id", "of"), "fits")
     real = mixed.join(small(fits.select("of", "extra"), n), (F.col("id") == F.col("of")) & (F.col("h") == F.col("extra"))).groupBy("of").agg(F.sum("size").alias("words"))  # equal rows go together
     last = fits.join(small(real.withColumnRenamed("of", "_of"), n), F.col("of") == F.col("_of"), "left").select("of", "bound", F.when(F.col("words") < 2 * F.col("gap"), F.col("extra")).alias("extra"))
     out = goal.join(small(last, n), F.col("id") == F.col("of"), "left")
@@ -117,3 +122,14 @@ def repeat_taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     plan = plan.select(F.col("source").alias("_mix_of"), F.col("rounds").alias("_mix_rounds"), F.col("bound").alias("_mix_bound"), F.col("extra").alias("_mix_extra"))
     joined = docs.join(small(plan, n), docs["source"].eqNullSafe(F.col("_mix_of")))
     return joined.withColumn("_mix_n", F.explode(F.array_repeat(F.lit(0), times("_mix_rounds", "_mix_bound", "_mix_extra", spread()).cast("int")))).select(*docs.columns)
+
+
+#: The same mix for DuckDB: thresholds from one running total over the hash's upper 36 bits.
+ORACLE_SQL = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1), w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM l)) AS target FROM l), t AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds FROM g), a AS (SELECT *, target - rounds * source_size AS want FROM t),
+m AS (SELECT d.*, d.h >> 24 AS b, source_size, target, rounds, want FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source), c AS (SELECT source, want, b, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY b) AS upto FROM m GROUP BY 1, 2, 3),
+e AS (SELECT source, min(b) AS bound, arg_min(want - (upto - words), b) AS gap FROM c WHERE want > 0 AND upto >= want GROUP BY 1), f AS (SELECT e.source, bound, gap, arg_min(h, (abs(gap - size), h)) AS extra FROM m JOIN e ON m.source IS NOT DISTINCT FROM e.source WHERE b >= bound AND size > 0 GROUP BY 1, 2, 3),
+r AS (SELECT f.source, bound, CASE WHEN sum(size) < 2 * any_value(gap) THEN any_value(extra) END AS extra FROM f JOIN m ON m.source IS NOT DISTINCT FROM f.source AND m.h = f.extra GROUP BY 1, 2)
+SELECT doc_id, size, source_size, target, CAST((rounds + CASE WHEN b < coalesce(bound, 0) OR coalesce(h = extra, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM m LEFT JOIN r ON m.source IS NOT DISTINCT FROM r.source"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm import langid, mixing, neighbours, packing, simhash, substring, telephony, tokencount, urls, warc
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
 
 
 def registered(f):
