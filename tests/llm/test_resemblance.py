@@ -60,7 +60,11 @@ def test_members_far_from_their_bucket_s_smallest(spark, make, prose, monkeypatc
         if nodes[0] == min(nodes):
             break
     docs = make(texts)
-    points = resemblance.shingled(docs).withColumnRenamed("doc_id", "first_id").withColumn("keys", F.array(F.lit(7).cast("bigint")))
+    made = sorted(resemblance.shingled(docs).collect(), key=lambda r: r.doc_id)
+    bands = [np.frombuffer(bytes(r.sketch), np.uint8).reshape(32, 4) for r in made]
+    at = int((bands[1] == bands[2]).all(1).argmax())  # one bucket for all three, in the first band that the two share
+    rows = [(r.node, r.n, [7 if b == at else 100 * (i + 1) + b for b in range(32)], bytes(r.sketch), r.doc_id) for i, r in enumerate(made)]
+    points = spark.createDataFrame(rows, "node long, n int, keys array<bigint>, sketch binary, first_id long")
     for block in (512, 1):
         monkeypatch.setattr(resemblance, "BLOCK", block)
         assert {(r.node, r.root) for r in resemblance.near_sets(points, docs).collect()} == {(n, min(nodes[1:])) for n in nodes[1:]}
