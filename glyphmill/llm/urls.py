@@ -4,7 +4,7 @@ Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; pat
 where the path starts with the rule's; the longest fitting rule decides. All other URLs get the verdict of gradient-boosted trees on length, depth, digit
 ratio, entropy, parameter counts, hyphens and labels of the host, and the block rate of the host's suffix among the labelled URLs.
 
-The trees are trained from labelled URLs (a table of at most LABELLED rows; `seed_labels` gives the one that is shipped) and then
+The trees are trained from labelled URLs (a table of at most LABELLED rows; `seed_labels` gives the one that is shipped, made by rule so that no trait decides alone) and then
 compiled into one SQL expression, so that scoring is a projection inside the scan's stage; there is no Python on the executors.
 
 Null URLs and those without `://` have an empty host and path, no rule, and are judged by the trees like any other (null as empty text). Repeated rows get equal results; empty tables give empty
@@ -13,13 +13,15 @@ results; other columns are not read.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Labelled rows used at most, rounds of boosting and depth of its trees, and suffixes with a rate of their own.
-LABELLED, ROUNDS, DEPTH, SUFFIXES = 20_000, 12, 3, 1000
+LABELLED, ROUNDS, DEPTH, SUFFIXES = 20_000, 20, 4, 1000
 FEATURES = ("length", "depth", "digits", "entropy", "params", "hyphens", "labels", "suffix_rate")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,23 +69,41 @@ def features(url: Column, rates: dict[str, float], prior: float) -> list[Column]
     return [n, count(path, "/"), digits, F.when(n > 0, entropy(text)).otherwise(0.0), params, count(host, "-"), F.when(host == "", 0.0).otherwise(1.0 + count(host, ".")), rate]
 
 
-def seed_labels(spark: SparkSession) -> DataFrame:
-    """(url, label), label 1 for block: made by rule from short word lists, so that it holds no real address."""
-    bad, more = ["casino", "pills", "bets", "adult", "track", "spam"], ["win", "cheap", "free", "x", "ads", "farm"]
-    good = ["news", "library", "school", "garden", "museum", "weather", "city", "music", "history", "science", "kitchen", "travel"]
-    suffixes, paths = ["com", "net", "org"], ["/en/{n}", "/de/{n}.html", "/fr/{n}/", "/{n}?page=2&ref=x", "/a/{n}#top"]
+#: Labels made by rule: rows, and how often a drawn trait is that of the other kind.
+SEED_ROWS, SEED_NOISE = 6000, 0.12
+#: What seed hosts end in (reserved names only), with the share of blocked rows among its draws.
+SEED_SUFFIXES = (("example.com", 4), ("example.net", 5), ("example.org", 3), ("test", 2), ("invalid", 8), ("example", 5))
+
+
+def seed_rows(n: int = SEED_ROWS, seed: int = 5) -> list[tuple[str, int]]:
+    """(url, label) rows by rule, label 1 for block: every other row is a bad one.
+
+    Each trait (suffix, hyphens, labels of the host, depth, digits, random tokens, parameters) is drawn for itself, more of it for bad rows, and SEED_NOISE of the draws are made as for the other kind.
+    So every trait tells something, and none decides."""
+    rng = random.Random(seed)
+    bad = ("casino", "pills", "bets", "adult", "track", "spam", "win", "cheap", "free", "farm", "ads", "loan")
+    good = ("news", "library", "school", "garden", "museum", "weather", "city", "music", "history", "science", "kitchen", "travel")
+    soup = "abcdefghijklmnopqrstuvwxyz0123456789"
     rows = []
-    for n, (a, b) in enumerate((a, b) for a in bad for b in more):
-        for k, suffix in enumerate(suffixes):
-            at = paths[(n + k) % len(paths)].format(n=1000 + 37 * n + k)
-            rows.append((f"http://{b}-{a}.example.{suffix}{at}", 1))
-            rows.append((f"https://www.{a}-{b}{n}.example.{suffix}{at}?id={n}&sid={n * n}&utm_source=mail", 1))
-    for n, (a, b) in enumerate((a, b) for a in good for b in good[:6]):
-        for k, suffix in enumerate(suffixes):
-            at = paths[(n + k) % len(paths)].format(n=1000 + 37 * n + k)
-            rows.append((f"https://{a}{b if n % 2 else ''}.example.{suffix}{at}", 0))
-            rows.append((f"http://{('www.', 'blog.', 'm.')[n % 3]}{b}.example.{suffix}{at}", 0))
-    return spark.createDataFrame(rows, "url string, label int")
+    for i in range(n):
+        label = i % 2
+        drawn = lambda: label ^ (rng.random() < SEED_NOISE)  # noqa: B023, E731
+        pick = lambda kind, much, little: rng.choice(much if kind else little)
+        suffix = rng.choices([x for x, _ in SEED_SUFFIXES], [share if drawn() else 10 - share for _, share in SEED_SUFFIXES])[0]
+        words = bad if drawn() else good
+        name = "-".join(rng.choice(words) for _ in range(pick(drawn(), (1, 2, 2, 3), (1, 1, 1, 1, 1, 2))))
+        if drawn() and rng.random() < 0.5:
+            name += "".join(rng.choice(soup) for _ in range(rng.randint(3, 12)))
+        sub = "".join(rng.choice(("www", "m", "cdn", "go", "blog", "login")) + "." for _ in range(pick(drawn(), (0, 1, 2, 3), (0, 0, 1, 1))))
+        path = "".join("/" + (str(rng.randint(1, 10 ** pick(drawn(), (4, 6, 9), (1, 2, 3)))) if rng.random() < 0.4 else "".join(rng.choice(soup) for _ in range(rng.randint(6, 20))) if drawn() and rng.random() < 0.5 else rng.choice(good)) for _ in range(pick(drawn(), (1, 3, 4, 6), (1, 1, 2, 3))))
+        params = "&".join(f"{rng.choice(('id', 'sid', 'ref', 'page', 'utm_source', 'q'))}={rng.randint(1, 10 ** rng.randint(1, 6))}" for _ in range(pick(drawn(), (0, 2, 3, 5), (0, 0, 1, 2))))
+        rows.append((f"{rng.choice(('http', 'https'))}://{sub}{name}.{suffix}{path}{'?' + params if params else ''}", label))
+    return rows
+
+
+def seed_labels(spark: SparkSession) -> DataFrame:
+    """The shipped labels as a table."""
+    return spark.createDataFrame(seed_rows(), "url string, label int")
 
 
 def suffix_rates(labelled: DataFrame) -> tuple[dict[str, float], float]:
