@@ -30,6 +30,8 @@ DIM = 1 << 15
 LANGUAGES, PER_LANGUAGE, LANDMARKS = 64, 300, 400
 RIDGE = 1e-2
 UNKNOWN = "und"
+#: A prediction below this score is none: words of a few letters that several languages share.
+LEAST_SCORE = 0.25
 #: Odd multipliers that spread the n-grams of each length over the cells.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 #: Texts scored in one product.
@@ -167,21 +169,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model, "doc_id").select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text is null or has no letter; the model of the operator decides.
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """docs whose predicted language is one of `languages` (None: any learned one) with a score of at least `least`; texts that are null or have no letter go, too. Without a
+    model (nothing to learn from) every text with a letter stays.
 
     The prediction runs beside the other columns in one pass, so nothing is joined."""
     model = train(docs, ~F.coalesce(fold() == 2, F.lit(True)))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = batch.column("text").to_pylist()
-        keep = [has_letter(t) for t in texts]
-        if model:
-            known = [i for i, k in enumerate(keep) if k]
-            if known:
-                sure = model.scores([texts[i] for i in known]).max(1) > 0
-                for i, ok in zip(known, sure, strict=True):
-                    keep[i] = bool(ok)
-        return batch.filter(pa.array(keep)) if any(keep) else None
+        keep = np.array([has_letter(t) for t in texts])
+        known = np.flatnonzero(keep)
+        if model and len(known):
+            found = model.scores([texts[i] for i in known])
+            wanted = np.array([languages is None or lang in languages for lang in model.languages])
+            keep[known] = wanted[found.argmax(1)] & (found.max(1) >= least)
+        return batch.filter(pa.array(keep)) if keep.any() else None
 
     return arrow_map(docs, docs.schema, work)
