@@ -102,14 +102,16 @@ def forget_others(name: str = "") -> None:
             clear()
 
 
-def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], memo: str = "") -> DataFrame:
-    """df through work, one Arrow batch at a time; empty batches are skipped. memo: the name of what work remembers."""
+def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], memo: str = "", most: int | None = None) -> DataFrame:
+    """df through work, one Arrow batch at a time; empty batches are skipped. memo: the name of what work remembers. most: batches of more bytes come in slices."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(memo)
         for batch in source:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            step = max(1, batch.num_rows * most // max(most, batch.nbytes)) if most else max(1, batch.num_rows)
+            for at in range(0, batch.num_rows, step):
+                if (out := work(batch.slice(at, step))) is not None:
+                    yield out
 
     small_batches(df.sparkSession)
     return df.mapInArrow(batches, schema)

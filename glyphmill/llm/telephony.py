@@ -4,7 +4,10 @@
 `expand` turns codes into 16-bit PCM by a 256-entry table; `adpcm_decode` decodes IMA ADPCM blocks with numpy, one step of all
 blocks at a time; `upsample` doubles the rate by linear interpolation. Everything is integer arithmetic, so results do not depend on batches.
 
-Null texts count as empty. An empty payload is one padding block. Repeated rows give repeated results; other columns are not read.
+`text_media` stores each text twice: as a WAVE of companded samples, from which the payload comes back, and as PCM resampled to twice the rate; `media_features` reads both back.
+
+Null texts count as empty. An empty payload is one padding block. Very long texts come a few at a time (slices of SLICE bytes, and their texts whole). Repeated rows give repeated results; empty tables give
+empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import arrow_map, with_text
+from glyphmill.llm.common import arrow_map, utf8_views, with_text
 
 UNIT = 576
 PAD = 255
@@ -136,28 +139,36 @@ def text_payload(text: bytes) -> bytes:
     return text + bytes([PAD]) * (UNIT * max(1, -(-len(text) // UNIT)) - len(text))
 
 
-def pcm_feature(law: int, codes: bytes) -> tuple[np.ndarray, str]:
-    """The expanded samples; and energy, peak, zero crossings and a checksum of the resampled PCM, as a string."""
+def resampled_bytes(law: int, codes: bytes) -> bytes:
+    """Little-endian 16-bit samples at twice the stored rate."""
+    return upsample(EXPAND[law][np.frombuffer(codes, np.uint8)]).astype("<i2").tobytes()
+
+
+def pcm_feature(law: int, codes: bytes, doubled: bytes) -> str:
+    """Energy, peak and zero crossings of the expanded samples, and a checksum of the resampled PCM, as a string."""
     pcm = EXPAND[law][np.frombuffer(codes, np.uint8)]
     wide = pcm.astype(np.int64)
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    doubled = upsample(pcm)
-    return pcm, f"n={len(pcm)};e={int(wide @ wide)};p={int(np.abs(wide).max())};z={crossings};r={zlib.crc32(doubled.astype('<i2').tobytes()):08x}"
+    return f"n={len(pcm)};e={int(wide @ wide)};p={int(np.abs(wide).max())};z={crossings};r={zlib.crc32(doubled):08x}"
 
 
-#: ADPCM blocks decoded at a time.
-BLOCKS = 4096
+#: ADPCM blocks decoded at a time; bytes of a slice of a batch.
+BLOCKS, SLICE = 4096, 4 << 20
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and wave: each text's payload as a mu-law WAVE file."""
+    """doc_id, n_bytes, wave, pcm_rate and pcm: each text's payload as a mu-law WAVE file, and its resampled PCM."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([wave_bytes(text_payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "wave"])
+        payloads, sizes = [], []
+        for text in utf8_views(batch.column("text")):
+            sizes.append(len(text))
+            payloads.append(text_payload(text))
+        pcm = [resampled_bytes(MU_LAW, p) for p in payloads]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(map(wave_bytes, payloads), pa.binary()), pa.array([2 * RATE] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], ["doc_id", "n_bytes", "wave", "pcm_rate", "pcm"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(with_text(docs, "doc_id"), f"doc_id {id_type}, n_bytes bigint, wave binary", work)
+    return arrow_map(with_text(docs, "doc_id"), f"doc_id {id_type}, n_bytes bigint, wave binary, pcm_rate int, pcm binary", work, most=SLICE)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -166,29 +177,29 @@ def media_features(media: DataFrame) -> DataFrame:
     The payload is also read as ADPCM blocks of one unit each; their decoded energy is part of the feature."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        waves = batch.column("wave").to_pylist()
+        waves, doubled = batch.column("wave").to_pylist(), batch.column("pcm").to_pylist()
         read = [read_wave(w) for w in waves]
         sizes = [len(codes) // UNIT for _, codes in read]
         blocks = np.frombuffer(b"".join(codes for _, codes in read), np.uint8).reshape(-1, UNIT)
         energy = np.concatenate([(np.abs(adpcm_decode(blocks[i : i + BLOCKS]).astype(np.int64))).sum(1) for i in range(0, len(blocks), BLOCKS)])
         ends = np.cumsum(sizes)
         rows = []
-        for (law, codes), wave, end, size in zip(read, waves, ends, sizes, strict=True):
-            feature = f"{pcm_feature(law, codes)[1]};a={int(energy[end - size : end].sum())}"
-            rows.append((len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-32:]), len(wave), hashlib.sha256(wave).hexdigest(), feature))
+        for (law, codes), wave, pcm, end, size in zip(read, waves, doubled, ends, sizes, strict=True):
+            feature = f"{pcm_feature(law, codes, pcm)};a={int(energy[end - size : end].sum())}"
+            rows.append((len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-32:]), len(wave), hashlib.sha256(wave).hexdigest(), feature, len(pcm)))
         cols = list(zip(*rows, strict=True))
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
 
     id_type = media.schema["doc_id"].dataType.simpleString()
-    return arrow_map(media, f"doc_id {id_type}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", work)
+    return arrow_map(media, f"doc_id {id_type}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint", work, most=4 * SLICE)
 
 
 def resampled(media: DataFrame) -> DataFrame:
     """doc_id, rate and pcm: little-endian 16-bit samples at twice the stored rate."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pcm = [upsample(EXPAND[law][np.frombuffer(codes, np.uint8)]).astype("<i2").tobytes() for law, codes in map(read_wave, batch.column("wave").to_pylist())]
+        pcm = [resampled_bytes(law, codes) for law, codes in map(read_wave, batch.column("wave").to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([2 * RATE] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], ["doc_id", "rate", "pcm"])
 
     id_type = media.schema["doc_id"].dataType.simpleString()
