@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,21 +56,26 @@ def beam_search(steps: np.ndarray, width: int, end: int, ctc: np.ndarray | None
     return [(s, v) for s, v, _ in beams]
 
 
-def passes(steps: np.ndarray, width: int, end: int, temperatures: tuple[float, ...] = (0.7, 1.0, 1.3)) -> tuple[list[int], float, float]:
+def passes(steps: np.ndarray, width: int, end: int, temperatures: tuple[float, ...] = (0.7, 1.0, 1.3), ctc: np.ndarray | None = None, weight: float = 0.3, score_of: Callable[[list[int]], float] | None = None) -> tuple[list[int], float, float]:
     """(sequence, score, agreement): the best over several temperatures, and 1 / different sequences among the best three."""
-    pooled = [b for t in temperatures for b in beam_search(np.asarray(steps) / t, width, end)]
+    pooled = [b for t in temperatures for b in beam_search(np.asarray(steps) / t, width, end, ctc, weight)]
+    if score_of is not None:
+        pooled = [(s, (v + score_of(s)) / 2) for s, v in pooled]
     pooled.sort(key=lambda x: -x[1])
     best = pooled[0]
     return best[0], best[1], 1.0 / len({tuple(s) for s, _ in pooled[:3]})
 
 
-def decode(df: DataFrame, key: str, logits: str = "logits", width: int = 4, end: int = 0) -> DataFrame:
-    """(key, sequence, score, agreement) of rows with an array of steps of logits; empty ones give empty sequences."""
+def decode(df: DataFrame, key: str, logits: str = "logits", width: int = 4, end: int = 0, ctc: str | None = None, weight: float = 0.3, score_of: Callable[[list[int]], float] | None = None) -> DataFrame:
+    """(key, sequence, score, agreement) of rows with an array of steps of logits; empty ones give empty sequences.
+
+    ctc: a column of frames of logits (the first symbol is the blank) whose prefix scores are mixed in by weight. score_of: an outside score of a sequence, averaged with the decoder's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [passes(np.array(v, np.float64), width, end) if v else ([], 0.0, 1.0) for v in batch.column(logits).to_pylist()]
+            frames = batch.column(ctc).to_pylist() if ctc else [None] * batch.num_rows
+            rows = [passes(np.array(v, np.float64), width, end, ctc=log_softmax(np.array(c, np.float64)) if c else None, weight=weight, score_of=score_of) if v else ([], 0.0, 1.0) for v, c in zip(batch.column(logits).to_pylist(), frames, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())], [key, "sequence", "score", "agreement"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, logits).mapInArrow(run, f"`{key}` {kind}, sequence array<int>, score double, agreement double")
+    return df.select(key, logits, *([ctc] if ctc else [])).mapInArrow(run, f"`{key}` {kind}, sequence array<int>, score double, agreement double")

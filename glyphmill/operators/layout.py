@@ -115,6 +115,13 @@ def unique_regions(df: DataFrame) -> DataFrame:
     return real.withColumn("n", F.row_number().over(W.partitionBy("page_id", "label", "x1", "y1").orderBy("pos"))).filter("n = 1").drop("n")
 
 
+def with_page_fallback(regions: DataFrame, pages: DataFrame, label: str = "text", confidence: float = 1.0) -> DataFrame:
+    """Regions, and the whole page as one for each page (page_id, width, height) that has none."""
+    bare = pages.join(regions.select("page_id").distinct(), "page_id", "left_anti")
+    whole = bare.select("page_id", F.lit(label).alias("label"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").cast("int").alias("x2"), F.col("height").cast("int").alias("y2"), F.lit(1).alias("pos"), F.lit(confidence).alias("confidence"))
+    return regions.unionByName(whole, allowMissingColumns=True)
+
+
 def documents(df: DataFrame, title: str | None = None, paragraph: float = 2.5, line: float = 1.5) -> DataFrame:
     """(page_id, document): Markdown from rows with text, kind ('text' or 'math') and display.
 

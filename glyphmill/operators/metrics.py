@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,3 +98,30 @@ def page_summary(lines: DataFrame, page: str, boost: Column | None = None) -> Da
     total = mean + (boost if boost is not None else F.lit(0.0))
     tags = [F.count_if(F.col("tag") == t).alias(n) for n, t in (("accepted", "ACCEPTED"), ("retry", "RETRY_REQUIRED"), ("failed", "FAILED_EXTRACTION"))]
     return lines.groupBy(page).agg(*tags, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("overall"))
+
+
+#: Metrics of a checkpoint by the kind of its model: name -> (prediction, reference) -> Column.
+METRICS: dict[str, dict[str, Callable[[Column, Column], Column]]] = {
+    "text": {"cer": D.cer, "wer": D.wer},
+    "math": {"token_distance": lambda p, r: D.normalized_distance(D.sequence_distance(D.latex_tokens(p), D.latex_tokens(r)), F.size(D.latex_tokens(r)), F.size(D.latex_tokens(p))), "exact": lambda p, r: D.exact_expression(p, r).cast("double")},
+}
+
+
+def checkpoint_means(rows: DataFrame, kind: str = "text", checkpoint: str = "checkpoint") -> DataFrame:
+    """(checkpoint, mean_<metric> ..., num_evaluated): over rows with a prediction only; a checkpoint of which none succeeded has nulls and 0."""
+    p, r = F.col("prediction"), F.col("reference")
+    rated = rows.select(checkpoint, p.isNotNull().alias("ok"), *[F.when(p.isNotNull(), metric(p, r)).alias(name) for name, metric in METRICS[kind].items()])
+    return rated.groupBy(checkpoint).agg(*[F.avg(name).alias(f"mean_{name}") for name in METRICS[kind]], F.count_if("ok").alias("num_evaluated"))
+
+
+def merged_metrics(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, metrics): two tables (key, metrics map) in one; of equal names the second counts."""
+    both = a.select(key, F.col("metrics").alias("_a")).join(b.select(key, F.col("metrics").alias("_b")), key, "full")
+    none = F.create_map().cast(b.schema["metrics"].dataType)
+    old = F.map_filter(F.coalesce("_a", none), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys("_b"), k), F.lit(False)))
+    return both.select(key, F.map_concat(old, F.coalesce("_b", none)).alias("metrics"))
+
+
+def counts_of(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """One row: how many rows hold each of the values (regions by type, samples by loader)."""
+    return df.agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Patterns and messages of the grammar check.
 GRAMMAR = ((r"\b([Ii])\s+([a-z])", "Missing uppercase after 'I'"), (r"\s{2,}", "Multiple spaces"), (r"(\w)\.\s*([a-z])", "Missing uppercase after period"), (r"\b(teh|hte|adn|nad)\b", "Common misspelling"))
@@ -40,3 +41,9 @@ def spans(df: DataFrame, key: str, find: Callable[[str], list[tuple[int, int, st
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, offset int, length int, kind string, context string")
+
+
+def suggested(df: DataFrame, suggestions: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """Spans with the first `most` suggestions for their text, from a table (context, place, suggestion)."""
+    listed = suggestions.groupBy("context").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "suggestion"))), lambda r: r["suggestion"]), 1, most).alias("suggestions"))
+    return df.join(listed, "context", "left").select(key, "offset", "length", "kind", "context", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,6 +87,12 @@ def iam_lines(spark: SparkSession, path: str, forms: DataFrame | None = None) ->
     return out
 
 
+def iam_last_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(line_id, text) of the same files by the other convention: lines marked ok, the last field alone."""
+    f = _fields(spark, path, 9).filter(F.col("f")[1] == "ok")
+    return f.select(F.col("f")[0].alias("line_id"), F.replace(F.element_at("f", -1), F.lit("|"), F.lit(" ")).alias("text"))
+
+
 def iam_words(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(word_id, line_id, text): with strict, words marked ok and their ninth field; else all but errors, and the last field."""
     f = _fields(spark, path, 9)
@@ -229,3 +236,41 @@ def result(results: DataFrame, job_id: str) -> DataFrame:
     if found.limit(1).count() == 0:
         raise KeyError(job_id)
     return found
+
+
+#: What turns a document's bytes into pages: (picture bytes, text) of each.
+Renderer = Callable[[bytes], list[tuple[bytes, str]]]
+
+
+def document_pages(spark: SparkSession, folder: str, factory: Callable[[], Renderer], most: int | None = None, pattern: str = "*.pdf") -> DataFrame:
+    """(path, page, image, text, mode, error): the pages of documents by a renderer that is made once in each task; `most` bounds the pages of a document.
+
+    mode is pdf_page, or needs_labeling where a page has no text; a document that can't be rendered is one row with an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        render = factory()
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    pages = [(n, image, (text or "").strip(), None) for n, (image, text) in enumerate(render(content)[:most], 1)]
+                except Exception as e:  # noqa: BLE001  a failed document is a row
+                    pages = [(0, None, "", f"{type(e).__name__}: {e}")]
+                if pages:
+                    n, image, text, error = zip(*pages, strict=True)
+                    modes = ["pdf_page" if t else "needs_labeling" for t in text]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(n)), pa.array(n, pa.int32()), pa.array(image, pa.binary()), pa.array(text, pa.string()), pa.array(modes), pa.array(error, pa.string())], ["path", "page", "image", "text", "mode", "error"])
+
+    return files.mapInArrow(run, "path string, page int, image binary, text string, mode string, error string")
+
+
+class Loader:
+    """A source to be filled in by others: override `load`; `manifest` gives its rows with the manifest's keys."""
+
+    name = "loader"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        raise NotImplementedError
+
+    def manifest(self, spark: SparkSession) -> DataFrame:
+        return self.load(spark).select("image_path", "ground_truth_text", "mode").withColumn("partition", F.lit(self.name))

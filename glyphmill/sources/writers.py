@@ -49,3 +49,16 @@ def tab_pairs(df: DataFrame, path: str, file: str = "file", text: str = "latex")
 def log_lines(df: DataFrame) -> DataFrame:
     """(line): `[+elapsed] LEVEL stage: message` of log rows with elapsed seconds."""
     return df.select(F.format_string("[+%.3fs] %s %s: %s", F.col("elapsed").cast("double"), F.upper("level"), "stage", "message").alias("line"))
+
+
+def report(status: DataFrame, path: str) -> None:
+    """A status table (name, path) as JSON lines and as one Markdown list, in two folders."""
+    json_rows(status, f"{path}/json")
+    item = F.concat(F.lit("- **"), F.col("name"), F.lit("**: "), F.coalesce("path", F.lit("missing")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("name", item.alias("item")))), lambda r: r["item"])
+    lines(status.agg(F.concat(F.lit("# Status\n\n"), F.array_join(rows, "\n")).alias("value")), f"{path}/markdown")
+
+
+def crops(df: DataFrame, path: str) -> None:
+    """Picture bytes by name (name, data), as a table; files of one picture each would be many small ones."""
+    df.select("name", "data").write.mode("overwrite").parquet(path)
