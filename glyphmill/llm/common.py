@@ -75,10 +75,10 @@ def told_apart(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Dat
     touched ones are then joined exactly. The fuller the table, the more rows are touched in vain (an eighth at two million keys); none is ever lost. Rows without a key are in rest."""
     h = F.xxhash64(F.lit("touched"), F.col(key))
     word, bit = F.pmod(h, F.lit(WORDS)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
-    one = keys.filter(F.col(key).isNotNull()).select(word.alias("_word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64('touched', `{key}`), 58) as int))").alias("_bit"))
-    bits = staged(one.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bits")
-    met = df.withColumn("_at", word).withColumn("_place", bit).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
-    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, _place) & 1L") == 1, F.lit(False)) & F.col(key).isNotNull()
+    one = keys.filter(F.col(key).isNotNull()).select(word.alias("_told_word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64('touched', `{key}`), 58) as int))").alias("_told_bit"))
+    bits = staged(one.groupBy("_told_word").agg(F.bit_or("_told_bit").alias("_told_bits")), "bits")
+    met = df.withColumn("_told_at", word).withColumn("_told_place", bit).join(F.broadcast(bits), F.col("_told_at") == F.col("_told_word"), "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(_told_bits, _told_place) & 1L") == 1, F.lit(False)) & F.col(key).isNotNull()
     columns = [F.col(f"`{c}`") for c in df.columns]
     return met.filter(hit).select(*columns), met.filter(~hit).select(*columns)
 

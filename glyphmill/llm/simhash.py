@@ -203,13 +203,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marks = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("stays")).filter("n > 1 or stays = 0"), "marks")
     # ids of one row are decided by the id alone, and texts of ids without a mark don't move; only the rows of repeated ids are looked at again
     touched, kept = told_apart(named, marks, "doc_id")
-    mark = marks.select(F.col("doc_id").alias("_of"), F.col("n").alias("_n"), F.col("stays").alias("_stays"))
-    touched = touched.join(mark.hint("merge"), F.col("doc_id") == F.col("_of"), "left")
-    kept = kept.unionByName(touched.filter("_of is null").select(*docs.columns))
+    mark = marks.select(F.col("doc_id").alias("_mark_of"), F.col("n").alias("_mark_n"), F.col("stays").alias("_mark_stays"))
+    touched = touched.join(mark.hint("merge"), F.col("doc_id") == F.col("_mark_of"), "left")
+    kept = kept.unionByName(touched.filter("_mark_of is null").select(*docs.columns))
     if marks.filter("n > 1 and stays > 0").limit(1).count():
-        rows = with_nodes(touched.filter("_n > 1 and _stays > 0").select(*docs.columns), "_node")
-        own = found.filter("stays").select(F.col("doc_id").alias("_of"), F.col("node").alias("_first")).distinct()
-        rows = rows.join(own, (F.col("doc_id") == F.col("_of")) & (F.col("_node") == F.col("_first"))).select(*docs.columns, "_node")
+        rows = with_nodes(touched.filter("_mark_n > 1 and _mark_stays > 0").select(*docs.columns), "_node")
+        own = found.filter("stays").select(F.col("doc_id").alias("_mark_of"), F.col("node").alias("_mark_first")).distinct()
+        rows = rows.join(own, (F.col("doc_id") == F.col("_mark_of")) & (F.col("_node") == F.col("_mark_first"))).select(*docs.columns, "_node")
         rest = F.struct(*[rows[f"`{c}`"] for c in docs.columns if c != "doc_id"])
         one = rows.groupBy("doc_id", "_node").agg(F.min(rest).alias("row")).select("doc_id", "row.*").select(*docs.columns)
         kept = kept.unionByName(one)
