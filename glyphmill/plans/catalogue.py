@@ -643,7 +643,8 @@ FOLD = lambda x: f"translate({x}, '{ACCENTED}', {BYTES})"
 
 @query(
     f"""WITH lex AS {LEX}, t AS (SELECT conv_id * 1000 + turn AS id, {words_sql("coalesce(text, '')")} AS w FROM conversations), u AS (SELECT id, unnest(w) AS whole, generate_subscripts(w, 1) AS pos FROM t), p AS (SELECT *, regexp_extract(whole, {CORE}, 1) AS head, regexp_extract(whole, {CORE}, 2) AS core, regexp_extract(whole, {CORE}, 3) AS tail FROM u),
-s AS (SELECT DISTINCT lower(core) AS query FROM p WHERE core <> '' AND lower(core) NOT IN (SELECT word FROM lex)), n AS (SELECT query, arg_min(word, (levenshtein({FOLD('query')}, word), word)) AS best FROM s JOIN lex ON abs(length(query) - length(word)) <= 1 AND levenshtein({FOLD('query')}, word) <= 1 GROUP BY 1),
+s AS MATERIALIZED (SELECT query, {FOLD('query')} AS bytes, unnest(range(length(query) - 1, length(query) + 2)) AS size FROM (SELECT DISTINCT lower(core) AS query FROM p WHERE core <> '' AND lower(core) NOT IN (SELECT word FROM lex))),
+n AS (SELECT query, arg_min(word, (levenshtein(bytes, word), word)) AS best FROM s JOIN (SELECT word, length(word) AS size FROM lex) USING (size) WHERE levenshtein(bytes, word) <= 1 GROUP BY 1),
 m AS (SELECT p.*, best, sum(CASE WHEN best IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS used FROM p LEFT JOIN n ON lower(core) = query),
 c AS (SELECT id, string_agg(head || CASE WHEN best IS NULL OR used > 5 THEN core WHEN upper(core) = core AND lower(core) <> core THEN upper(best) WHEN upper(core[1]) = core[1] AND lower(core[1]) <> core[1] THEN upper(best[1]) || lower(substr(best, 2)) ELSE best END || tail, ' ' ORDER BY pos) AS corrected FROM m GROUP BY 1)
 SELECT t.id, coalesce(corrected, '') AS corrected FROM t LEFT JOIN c ON t.id = c.id"""
