@@ -9,6 +9,7 @@ from glyphmill.functions import let
 from glyphmill.functions.arithmetic import mean, total
 from glyphmill.functions.distance import normalized, stripped
 
+# Thresholds and patterns here, and the weights and tolerances in math_check, composite and length_score.
 ACCEPT, RETRY = 0.85, 0.65
 NUMBER = r"(?U)(-?\d+\.?\d*)"
 

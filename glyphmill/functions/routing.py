@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The limits of the rules.
 BLUR, CONTRAST, MATH, SOME_MATH = 80.0, 40.0, 0.3, 0.15
 BADGES = {"ACCEPTED": "accepted", "RETRY_REQUIRED": "retry", "FAILED_EXTRACTION": "failed"}
 

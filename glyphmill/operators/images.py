@@ -91,6 +91,75 @@ def padded_square(img: np.ndarray, fill: int = 255) -> np.ndarray:
     return out
 
 
+def overlaps(size: int, target: int) -> np.ndarray:
+    """target x size: the share of each old pixel in each new one, rows summing to 1 (area interpolation)."""
+    edges = np.linspace(0, size, target + 1)
+    part = np.minimum(edges[1:, None], np.arange(1, size + 1)) - np.maximum(edges[:-1, None], np.arange(size))
+    part = np.clip(part, 0, None)
+    return part / part.sum(1, keepdims=True)
+
+
+def resized(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    """By area, rounded; grey or with channels."""
+    out = np.einsum("ah,hw...->aw...", overlaps(img.shape[0], height), img.astype(np.float64))
+    return np.clip(np.rint(np.einsum("bw,aw...->ab...", overlaps(img.shape[1], width), out)), 0, 255).astype(np.uint8)
+
+
+def equation_crop(img: np.ndarray, side: int = 384) -> np.ndarray:
+    """Three channels on a white square, resized to the model's input."""
+    return resized(padded_square(np.repeat(img[:, :, None], 3, axis=2) if img.ndim == 2 else img), side, side)
+
+
+def height_normalized(img: np.ndarray, height: int = 64) -> np.ndarray:
+    """Resized to a height, in proportion."""
+    return resized(img, height, max(1, round(img.shape[1] * height / img.shape[0])))
+
+
+def letterboxed(img: np.ndarray, target: int = 640, stride: int = 32, fill: int = 114) -> tuple[np.ndarray, float, tuple[int, int]]:
+    """(picture, ratio, (left, top)): resized to fit the square, with margins up to the next multiple of the stride."""
+    ratio = min(target / img.shape[0], target / img.shape[1])
+    h, w = round(img.shape[0] * ratio), round(img.shape[1] * ratio)
+    dh, dw = (target - h) % stride / 2, (target - w) % stride / 2
+    top, left = round(dh - 0.1), round(dw - 0.1)
+    out = np.full((h + round(dh + 0.1) + top, w + round(dw + 0.1) + left, *img.shape[2:]), fill, np.uint8)
+    out[top : top + h, left : left + w] = resized(img, h, w)
+    return out, ratio, (left, top)
+
+
+def stride_padded(img: np.ndarray, stride: int = 32, fill: int = 114) -> np.ndarray:
+    """With margins to the right and below."""
+    grown = [(0, -n % stride) for n in img.shape[:2]] + [(0, 0)] * (img.ndim - 2)
+    return np.pad(img, grown, constant_values=fill)
+
+
+def gaussian(img: np.ndarray, size: int = 3, mode: str = "reflect") -> np.ndarray:
+    """Blurred by a window of `size`, whose deviation follows from it, as floats."""
+    x = np.arange(size) - (size - 1) / 2
+    weights = np.exp(-(x * x) / (2 * (0.3 * ((size - 1) * 0.5 - 1) + 0.8) ** 2))
+    weights /= weights.sum()
+    out = np.pad(img.astype(np.float64), size // 2, mode=mode if min(img.shape) > size // 2 else "edge")
+    out = sum(w * out[i : i + img.shape[0]] for i, w in enumerate(weights))
+    return sum(w * out[:, i : i + img.shape[1]] for i, w in enumerate(weights))
+
+
+def adaptive_threshold(img: np.ndarray, size: int = 11, less: float = 2) -> np.ndarray:
+    """255 where a grey pixel is above the blurred picture less a constant, else 0."""
+    return np.where(img > np.rint(gaussian(img, size, "edge")) - less, 255, 0).astype(np.uint8)
+
+
+def median_filtered(img: np.ndarray, size: int = 3) -> np.ndarray:
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(img, size // 2, mode="edge"), (size, size))
+    return np.median(windows, axis=(2, 3)).astype(np.uint8)
+
+
+#: Denoising by name; a method that isn't known leaves the picture as it is (bilateral and non-local means belong to image libraries).
+DENOISE = {"median": median_filtered, "gaussian": lambda img: np.rint(gaussian(img, 5)).astype(np.uint8)}
+
+
+def denoised(img: np.ndarray, method: str = "median") -> np.ndarray:
+    return DENOISE.get(method, lambda x: x)(img)
+
+
 def with_noise(img: np.ndarray, intensity: float, seed: int) -> np.ndarray:
     return np.clip(img + np.random.default_rng(seed).normal(0, 255 * intensity, img.shape), 0, 255).astype(np.uint8)
 
