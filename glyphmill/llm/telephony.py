@@ -153,7 +153,7 @@ def pcm_feature(law: int, codes: bytes, doubled: bytes) -> str:
 
 
 #: ADPCM blocks decoded at a time; bytes of a slice of a batch.
-BLOCKS, SLICE = 4096, 4 << 20
+BLOCKS, SLICE = 4096, 1 << 20
 
 
 def text_media(docs: DataFrame) -> DataFrame:
