@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -102,6 +103,15 @@ def forget_others(name: str = "") -> None:
             clear()
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that waits or serves the next operator doesn't hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], memo: str = "", most: int | None = None) -> DataFrame:
     """df through work, one Arrow batch at a time; empty batches are skipped. memo: the name of what work remembers. most: batches of more bytes come in slices."""
 
@@ -112,6 +122,7 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
             for at in range(0, batch.num_rows, step):
                 if (out := work(batch.slice(at, step))) is not None:
                     yield out
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(batches, schema)

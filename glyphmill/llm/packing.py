@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import forget_others, memos, small_batches, with_text
+from glyphmill.llm.common import forget_others, give_back, memos, small_batches, with_text
 
 TIERS = (2048, 1024, 512, 256)
 #: Units that a worker remembers in each of two generations; when the young one is full it becomes the old one.
@@ -74,6 +74,7 @@ class UnitEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        give_back()  # what reading the file took
 
     @classmethod
     def of(cls, path: str) -> "UnitEncoder":

@@ -1,16 +1,16 @@
-"""Near copies by resemblance: the Jaccard index of the sets of five-word shingles is at least 0.8.
+"""Near copies by BK-trees over SimHash, decided by resemblance: the Jaccard index of the sets of five-word shingles is at least 0.8.
 
 Words and case as in simhash (A-Z lower-cased; fewer than five words: all of them as one shingle; none: the empty set). A set holds the distinct XXH64 of its shingles. Equal
 sets are one node, named by 64 bits of a digest over the whole set, and are compared once.
 
-Candidates: 128 min-wise values (the least of the hashes times an odd number) in 32 bands of four. Two sets meet if a band agrees; at an index of 0.8 that fails once in some
-20 million pairs, and less often above. Every candidate is decided by the exact index of the two sets, in whole numbers; nothing is linked by its bands alone.
+A set's fingerprint is the SimHash of its hashes. Two sets at an index of 0.8 differ in some 10 of 64 bits, too many for bands of the fingerprint alone, so a fingerprint goes to 38 shards: the six
+of `simhash`, named by pairs of its own bands (no two fingerprints within two bits fail to meet), and 32 named by bands of four min-wise values (the least of the hashes times an odd number; at an
+index of 0.8 all of them differ once in some 20 million pairs, and less often above). Shards come in blocks of BLOCK, each with a BK-tree; two blocks meet in a task of its own, so that no shard is
+gathered in one task. A member is paired with the first one within ENOUGH bits that its tree finds, else with the nearest within RADIUS, so a task hands on a link for each member, not the pairs.
 
-A bucket's members are compared by their min-wise values, in blocks of BLOCK, two of which meet in a task of its own, so that no group is gathered in one task. First each member is paired with
-one that looks near, then the exact index decides, and components are made; where a bucket is still in several components, members of different ones are compared once more, all of them, by their
-sets; a task hands on the links that join components, not the pairs. Pairs whose
-share of equal values lies five deviations under 0.8 are no candidates for the exact index. Sets are made again, from the texts, for the documents that meet another one; the
-others keep only their bands.
+Every pair is decided by the exact index of the two sets, in whole numbers; nothing is linked by its bits or shards alone. Components are made; where a shard is still in several of them, members of
+different ones are compared once more, all of them, by their sets: the radius and the trees lose no link. (There, pairs whose share of equal min-wise values lies five deviations under 0.8 are no
+candidates for the exact index.) Sets and fingerprints are made again, from the texts, for the documents that meet another one; the others keep only their shards.
 
 Null and empty texts are near copies of each other only. Repeated rows count once; empty tables give empty results; other columns are not read.
 """
@@ -18,14 +18,16 @@ Null and empty texts are near copies of each other only. Repeated rows count onc
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_map, small_batches, staged, told_apart, utf8_views, with_text
+from glyphmill.llm.bktrees import PART as HASHES
+from glyphmill.llm.bktrees import BKForest, majority
+from glyphmill.llm.common import arrow_map, give_back, small_batches, staged, told_apart, utf8_views, with_text
 from glyphmill.llm.components import components
 
 SEED = 42
@@ -33,8 +35,10 @@ WORDS = 5
 BANDS, BAND_ROWS = 32, 4
 #: Shingles whose min-wise values are made at once.
 PART = 2048
-#: Members of a bucket's block; the share of equal min-wise values that a pair needs before its sets are compared (five deviations of 0.035 under 0.8), and for a star.
-BLOCK, SHARE, STAR = 512, 0.62, 0.75
+#: Members of a shard's block; the share of equal min-wise values that a pair needs before its sets are compared for the last time (five deviations of 0.035 under 0.8).
+BLOCK, SHARE = 512, 0.62
+#: Bits in which a tree's pair may differ (at an index of 0.8 it is 9.7 on average, deviation 2.9), and so few that the first such member is taken, not the nearest: it is the same in most shards.
+RADIUS, ENOUGH = 16, 8
 #: Shingles of a block whose sets are compared, so that a task holds some 8 MB of them (and the longest text's).
 SHINGLES = 1 << 19
 
@@ -85,6 +89,17 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return ((rows ^ (rows >> np.uint64(29))) * MIX).sum(1, dtype=np.uint64) + BAND
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of the set."""
+    return majority((hashes[at : at + HASHES] for at in range(0, len(hashes), HASHES)), len(hashes))
+
+
+def shard_keys(fp: int) -> np.ndarray:
+    """The six shards named by two of the fingerprint's four bands, as in simhash.near_links."""
+    band = [fp >> 16 * i & 0xFFFF for i in range(4)]
+    return np.array([n << 32 | band[i] << 16 | band[j] for n, (i, j) in enumerate(combinations(range(4), 2))], np.int64)
+
+
 def near(a: np.ndarray, b: np.ndarray) -> bool:
     """|a and b| / |a or b| >= 4/5 of two sorted sets; two empty sets are equal."""
     both, few = len(a) + len(b), min(len(a), len(b))
@@ -94,7 +109,7 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, keys, sketch) of every row: the set's name, size and bands (none for the empty set), and the lowest byte of each min-wise value."""
+    """(doc_id, node, n, keys, sketch) of every row: the set's name, size and shards (none for the empty set), and the lowest byte of each min-wise value."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, sizes, keys, sketches = [], [], [], []
@@ -103,7 +118,7 @@ def shingled(docs: DataFrame) -> DataFrame:
             least = minwise(hashes)
             nodes.append(node_of(hashes))
             sizes.append(len(hashes))
-            keys.append(band_keys(least).view(np.int64) if len(hashes) else [])
+            keys.append(np.concatenate([band_keys(least).view(np.int64), shard_keys(fingerprint(hashes))]) if len(hashes) else [])
             sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
         named = pa.array(np.array(nodes, np.uint64).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), named, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "n", "keys", "sketch"])
@@ -112,7 +127,7 @@ def shingled(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes), one row for each wanted (doc_id, node): the sets as bytes, made from those documents' texts only (and from all without an id)."""
+    """(node, fp, hashes), one row for each wanted (doc_id, node): the fingerprints and the sets as bytes, made from those documents' texts only (and from all without an id)."""
     texts = with_text(docs, "doc_id")
     touched, _ = told_apart(texts, wanted.select("doc_id"), "doc_id")
     ids = wanted.select(F.col("doc_id").alias("of"), F.col("node").alias("want"))
@@ -124,9 +139,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         sets = [shingle_set(text) for text in utf8_views(batch.column("text"))]
         nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
         good = [i for i, w in enumerate(want) if w is None or w == nodes[i]]  # another text may share the doc_id
-        return pa.RecordBatch.from_arrays([pa.array(nodes[good]), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["node", "hashes"])
+        fps = np.array([fingerprint(sets[i]) for i in good], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[good]), pa.array(fps), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["node", "fp", "hashes"])
 
-    return arrow_map(rows, "node bigint, hashes binary", work).join(ids.select(F.col("want").alias("node")).hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    return arrow_map(rows, "node bigint, fp bigint, hashes binary", work).join(ids.select(F.col("want").alias("node")).hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,8 +158,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b"), "u bigint, v bigint", work)
 
 
-#: Columns of a unit's rows.
-UNIT = ("unit", "band", "role", "node", "n", "root", "sketch", "hashes")
+#: Columns of a unit's rows; the last two are null where trees are searched.
+UNIT = ("unit", "band", "role", "node", "n", "root", "fp", "sketch", "hashes")
 
 
 def alike(rows: dict, i: int, j: np.ndarray, share: float) -> np.ndarray:
@@ -155,19 +171,25 @@ def alike(rows: dict, i: int, j: np.ndarray, share: float) -> np.ndarray:
     return j[(rows["sketch"][j] == rows["sketch"][i]).mean(1) >= share] if len(j) else j
 
 
-def stars_of(rows: dict, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Each member with the first that looks near: a group of near copies gives few pairs, not all."""
-    free = np.ones(len(rows["node"]), bool)
-    for i in left:
-        if rows["role"][i] == 2 and not free[i]:
-            continue
-        j = alike(rows, i, right[free[right]], STAR)
-        free[j] = False
-        yield from ((i, x) for x in j)
+def found_by_trees(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): rows and the first within ENOUGH bits, else the nearest within RADIUS, of the other block, or of those before them in a unit of one block; of a size that allows the index. One BK-tree for each unit."""
+    order = np.lexsort((rows["node"], rows["unit"]))
+    unit, role, n, fp = (rows[c][order] for c in ("unit", "role", "n", "fp"))
+    inside, points = np.flatnonzero(role != 1), fp.view(np.uint64)
+    at = inside[np.lexsort((inside, n[inside], fp[inside], unit[inside]))]
+    first = np.ones(len(at), bool)  # equals are searched once
+    first[1:] = (unit[at[1:]] != unit[at[:-1]]) | (fp[at[1:]] != fp[at[:-1]]) | (n[at[1:]] != n[at[:-1]])
+    inside = np.sort(at[first])
+    kinds, root = np.unique(unit[inside], return_index=True)
+    probes = np.flatnonzero((role != 0) & np.isin(unit, kinds))
+    limit = np.where(role[probes] == 2, np.searchsorted(inside, probes), len(inside))
+    fits = lambda q, p: 5 * np.minimum(n[probes[q]], n[inside[p]]) >= 4 * np.maximum(n[probes[q]], n[inside[p]])
+    met = BKForest(points[inside], unit[inside]).nearest(points[probes], root[np.searchsorted(kinds, unit[probes])], limit, RADIUS, ENOUGH, fits)
+    return order[probes[met >= 0]], order[inside[met[met >= 0]]]
 
 
 def links_of(rows: dict, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join the components of a unit, each decided by the exact index. A pair is looked at in the first of its common bands only, and not if its components are joined already."""
+    """Links that join the components of a unit, each decided by the exact index. A pair is looked at in the first of its common min-wise bands only (in all its shards, if none), and not if its components are joined already."""
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -179,7 +201,8 @@ def links_of(rows: dict, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[
     for i in left:
         j = alike(rows, i, right, SHARE)
         if len(j):
-            j = j[(bands[j] == bands[i]).all(2).argmax(1) == rows["band"][i]]
+            same = (bands[j] == bands[i]).all(2)
+            j = j[np.where(same.any(1), same.argmax(1), BANDS) == min(rows["band"][i], BANDS)]
         for x in j.tolist():
             u, v = top(int(rows["root"][i])), top(int(rows["root"][x]))
             if u != v and near(*(np.frombuffer(rows["hashes"][k], np.uint64) for k in (i, x))):
@@ -188,17 +211,21 @@ def links_of(rows: dict, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[
 
 
 def blocked(units: DataFrame, exact: bool = False) -> DataFrame:
-    """(u, v): stars of members that look near, or exact links between components, from rows of UNIT. A unit holds two blocks of a bucket (roles 0 and 1), or one block twice (role 2)."""
+    """(u, v): what the units' trees find, or exact links between components, from rows of UNIT. A unit holds two blocks of a shard (roles 0 and 1), or one block twice (role 2)."""
 
     def pairs(held: list[dict]) -> pa.RecordBatch | None:
-        rows = {c: sum((h[c] for h in held), []) if c == "hashes" else np.concatenate([h[c] for h in held]) for c in UNIT}
-        node, role, found = rows["node"], rows["role"], []
-        for at in np.split(np.arange(len(node)), np.flatnonzero(np.diff(rows["unit"])) + 1):
-            at = at[np.argsort(node[at], kind="stable")]
-            found += (links_of if exact else stars_of)(rows, at[role[at] != 1], at[role[at] != 0])
-        if not found:
+        rows = {c: sum((h[c] for h in held), []) if c == "hashes" else np.concatenate([h[c] for h in held]) for c in held[0]}
+        node, role = rows["node"], rows["role"]
+        if exact:
+            found = []
+            for at in np.split(np.arange(len(node)), np.flatnonzero(np.diff(rows["unit"])) + 1):
+                at = at[np.argsort(node[at], kind="stable")]
+                found += links_of(rows, at[role[at] != 1], at[role[at] != 0])
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+        else:
+            i, j = found_by_trees(rows)
+        if not len(i):
             return None
-        i, j = np.array(found).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +234,9 @@ def blocked(units: DataFrame, exact: bool = False) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in UNIT[:-2]}
-            cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            cols["hashes"] = batch.column("hashes").to_pylist()
+            if exact:
+                cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                cols["hashes"] = batch.column("hashes").to_pylist()
             cut = int(np.searchsorted(cols["unit"], cols["unit"][-1]))  # the last unit may go on in the next batch
             if cut:
                 held.append({c: v[:cut] for c, v in cols.items()})
@@ -219,18 +247,20 @@ def blocked(units: DataFrame, exact: bool = False) -> DataFrame:
             held.append({c: v[cut:] for c, v in cols.items()})
         if held and (out := pairs(held)) is not None:
             yield out
+        held.clear()
+        give_back()
 
     small_batches(units.sparkSession)
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u bigint, v bigint")
 
 
 def in_blocks(members: DataFrame, sizes: DataFrame, about: DataFrame) -> DataFrame:
-    """Rows of UNIT from members (node, key, band, root) of the buckets in sizes (of, size, shingles); about: (node, n, sketch, hashes)."""
+    """Rows of UNIT from members (node, key, band, root) of the shards in sizes (of, size, shingles); about: (node, n, fp, sketch, hashes)."""
     blocks = sizes.select("of", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / SHINGLES)).cast("int").alias("blocks"))
     inside = members.join(blocks.hint("merge"), F.col("key") == F.col("of")).join(about.hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     role = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return meets.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "band", role.alias("role"), "node", "n", "root", "sketch", "hashes")
+    return meets.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "band", role.alias("role"), "node", "n", "root", "fp", "sketch", "hashes")
 
 
 def near_sets(points: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,14 +270,15 @@ def near_sets(points: DataFrame, docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(*size).filter("size > 1").withColumnRenamed("key", "of")
     shared = staged(shared, "buckets")  # with an exchange of its own, the join's skewed side can be split
     met = staged(keyed.join(shared.hint("merge"), F.col("key") == F.col("of")).select("node", "own", "key", "band"), "met")
-    about = points.select("node", "n", "sketch", F.lit(None).cast("binary").alias("hashes"))
-    tested = staged(blocked(in_blocks(met.withColumn("root", F.col("node")), shared.withColumn("shingles", F.lit(0)), about)).distinct(), "tested")
     # the sets of all that meet another one are made once
     wanted = staged(met.select("node").distinct().join(points.hint("merge"), "node").select(F.col("first_id").alias("doc_id"), "node"), "wanted")
     sets = staged(sets_of(docs, wanted), "sets")
+    none = F.lit(None).cast("binary")
+    about = points.select("node", "n").join(sets.select("node", "fp").hint("merge"), "node").select("*", none.alias("sketch"), none.alias("hashes"))
+    tested = staged(blocked(in_blocks(met.withColumn("root", F.col("node")), shared.withColumn("shingles", F.lit(0)), about)).distinct(), "tested")
     links = staged(confirmed(tested, sets), "near")
     roots = components(links)
-    # buckets that are still in several components: members of different ones
+    # shards that are still in several components: members of different ones
     placed = met.join(roots.hint("merge"), "node", "left").select("node", "own", "key", "band", F.coalesce("root", "node").alias("root"))
     apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *size).filter("least < most").select(F.col("key").alias("of"), "size", "shingles")
     about = points.select("node", "n", "sketch").join(sets.hint("merge"), "node")

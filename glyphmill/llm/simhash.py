@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.bktrees import PART, BKForest, majority
 from glyphmill.llm.common import arrow_map, small_batches, staged, told_apart, utf8_views, with_text
 from glyphmill.llm.components import components
 from glyphmill.llm.resemblance import near_copies, with_nodes
@@ -31,8 +32,8 @@ from glyphmill.llm.resemblance import near_copies, with_nodes
 SEED = 42
 RADIUS = 2
 BLOCK = 2048
-#: Points of a forest that is searched at once, and pairs in flight.
-FOREST, PAIRS = 100_000, 1 << 19
+#: Points of a forest that is searched at once.
+FOREST = 100_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -43,12 +44,8 @@ def fingerprint(text: bytes) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else iter([b" ".join(words)])
-    n, ones = max(1, len(words) - 2), np.zeros(64, np.int64)
-    hashes = map(xxh64_intdigest, shingles, repeat(SEED))
-    for at in range(0, n, 1 << 15):
-        part = np.fromiter(hashes, "<u8", min(n - at, 1 << 15))
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    n, hashes = max(1, len(words) - 2), map(xxh64_intdigest, shingles, repeat(SEED))
+    return majority((np.fromiter(hashes, "<u8", min(n - at, PART)) for at in range(0, n, PART)), n)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -61,49 +58,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(with_text(docs, "doc_id"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint", work)
 
 
-class BKForest:
-    """BK-trees of several groups at once: points[i] belongs to groups[i]; each group's first point is its root."""
-
-    def __init__(self, points: np.ndarray, groups: np.ndarray) -> None:
-        self.points = points
-        n = len(points)
-        kinds, first, inverse = np.unique(groups, return_index=True, return_inverse=True)
-        self.root = first[inverse]
-        at, left = self.root.copy(), np.setdiff1d(np.arange(n), first)
-        keys, children = [], []
-        while len(left):  # all points go down one level; the first to come along an edge becomes the child
-            d = np.bitwise_count(points[left] ^ points[at[left]]).astype(np.int64)
-            edge, firsts, back = np.unique(at[left] * 128 + d, return_index=True, return_inverse=True)
-            child = left[firsts]
-            keys.append(edge)
-            children.append(child)
-            at[left] = child[back]
-            left = np.delete(left, firsts)
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.children = np.concatenate(children) if children else np.zeros(0, np.int64)
-        order = np.argsort(self.keys)
-        self.keys, self.children = self.keys[order], self.children[order]
-
-    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query index, point index) arrays of all hits; roots[i] is where query i starts."""
-        stack = [(np.arange(i, min(i + PAIRS, len(queries))), roots[i : i + PAIRS]) for i in range(0, len(queries), PAIRS)]
-        while stack:
-            q, node = stack.pop()
-            d = np.bitwise_count(queries[q] ^ self.points[node]).astype(np.int64)
-            hit = d <= radius
-            if hit.any():
-                yield q[hit], node[hit]
-            if not len(self.keys):
-                continue
-            low = np.searchsorted(self.keys, node * 128 + np.maximum(d - radius, 0))
-            count = np.searchsorted(self.keys, node * 128 + d + radius, side="right") - low
-            total = int(count.sum())
-            if total:
-                starts = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
-                q, node = np.repeat(q, count), self.children[starts]
-                stack += [(q[i : i + PAIRS], node[i : i + PAIRS]) for i in range(0, total, PAIRS)]
-
-
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the classes of a[i] and b[i] in place; a label is the smallest member known so far."""
     while len(a):
@@ -194,7 +148,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies. Near copies are those of `resemblance`, which is wider than two bits.
+    """docs with one row of each component of near copies. Near copies are those of `resemblance`: found by BK-trees over SimHash, like the links above but farther than two bits, and decided by the exact
+    index.
 
     The row that stays has the smallest doc_id; of several such the smallest shingle set's name decides, then the other columns, in their order. Rows that share a doc_id but
     are no near copies are told apart by their sets and all stay. Rows without a doc_id take no part and stay."""
