@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import forget_others, give_back, memos, small_batches, with_text
 
 TIERS = (2048, 1024, 512, 256)
-#: Units that a worker remembers in each of two generations; when the young one is full it becomes the old one.
-MEMO = 400_000
-#: Longer units are not remembered, so that a generation holds at most MEMO * (8 * LONGEST + 200) bytes.
+#: Units that a worker remembers in each of two generations, and pre-tokens; when the young one is full, within a text too, it becomes the old one.
+MEMO = 200_000
+#: Longer units are not remembered, so that a generation (and the pre-tokens) holds at most MEMO * (8 * LONGEST + 200) bytes.
 LONGEST = 64
 #: Bytes of text for each token, roughly; only the number of step groups depends on it.
 TOKEN_BYTES = 3
@@ -102,7 +102,7 @@ class UnitEncoder:
         """Ids of one pre-token, straight from the library's model."""
         found = self.words.get(text)
         if found is None:
-            if len(self.words) > MEMO:
+            if len(self.words) >= MEMO:
                 self.words.clear()
             plain = text.replace(" ", BLANK) if text.isascii() and text.isprintable() else text.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
             tokens = self.model.tokenize(plain)
@@ -129,9 +129,9 @@ class UnitEncoder:
             unit = rest[at]
             found[at] = ids = young.get(unit) or old.get(unit) or self.whole(" " + unit)
             if len(unit) <= LONGEST:
+                if len(young) >= MEMO:
+                    self.young, self.old = young, old = {}, young
                 young[unit] = ids
-        if len(young) > MEMO:
-            self.young, self.old = {}, young
         return (self.whole(first) if first else b"") + b"".join(found)
 
 
@@ -229,16 +229,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
         forget_others("packing")
         encoder = UnitEncoder.of(tokenizer)
         packer = Packer(tiers, TaskContext.get().partitionId(), groups)
-        held: dict[int, list] = {}  # number -> [doc_id, ids, tokens not yet packed]
+        held: dict[int, list] = {}  # number -> [doc_id, ids from some token not beyond the first that waits, that token, all tokens, tokens not yet packed]
         number = 0
 
         def flush() -> pa.RecordBatch | None:
             rows = []
             for doc, start, length, sequence, offset, tier, step in packer.done:
                 entry = held[doc]
-                rows.append((entry[0], start, length, zlib.crc32(memoryview(entry[1])[4 * start : 4 * (start + length)]), len(entry[1]) // 4, sequence, offset, tier, step))
-                entry[2] -= length
-                if not entry[2]:
+                at = 4 * (start - entry[2])
+                rows.append((entry[0], start, length, zlib.crc32(memoryview(entry[1])[at : at + 4 * length]), entry[3], sequence, offset, tier, step))
+                entry[4] -= length
+                if not entry[4]:
                     del held[doc]
             packer.done.clear()
             if not rows:
@@ -247,20 +248,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_arrow), *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.int32()), pa.array(cols[8], pa.int64())], names)
 
         for batch in batches:
+            first = number
             id_arrow = batch.schema.field("doc_id").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, texts), strict=True):
                 ids += end
-                held[number] = [doc_id, ids, len(ids) // 4]
-                packer.add(number, len(ids) // 4)
+                tokens = len(ids) // 4
+                held[number] = [doc_id, ids, 0, tokens, tokens]
+                packer.add(number, tokens)
                 number += 1
             if packer.count > WAITING:
                 packer.pack(last=False)
             if (out := flush()) is not None:
                 yield out
+            for entry in (held[n] for n in range(first, number) if n in held):  # documents are packed from their start; only what waits is kept
+                if entry[4] < entry[3]:
+                    entry[1:3] = entry[1][-4 * entry[4] :], entry[3] - entry[4]
         packer.pack(last=True)
         if (out := flush()) is not None:
             yield out
+        give_back()
 
     groups = step_count(docs, step_tokens)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]

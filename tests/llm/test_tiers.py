@@ -1,6 +1,7 @@
 """Packing by tiers and the memory of the encoders, without Spark."""
 
 import random
+from array import array
 from collections import Counter
 
 import public_tokenizers
@@ -68,6 +69,17 @@ def test_long_texts_without_blanks_are_not_remembered():
         assert max(map(len, memo), default=0) <= 64
 
 
+def test_one_text_of_many_words_fills_no_more_than_the_generations(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 1000)
+    encoder = packing.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    units = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(5000)]
+    text = " ".join(units + units[-200:] + units[:200])  # some come again, from both generations and from none
+    assert encoder.encode(text) == array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    for memo in (encoder.young, encoder.old, encoder.words):
+        assert 0 < len(memo) <= 1000
+
+
 def test_workers_forget_other_operators():
     packing.UnitEncoder.of(public_tokenizers.path("byte_bpe_50k.json"))
     common.forget_others("packing")
