@@ -9,9 +9,9 @@ Hierarchical multi-length packing, in each task over its own documents (no shuff
   freely), and its rest is routed again; where no shorter piece is left, the next one of the same tier is cut;
 * what fills no window at a task's end is cut into powers of two, which need no padding.
 
-Tokens are those of a `tokenizers` file without special tokens, then one end id. A text is encoded in units (from a single space that
-stands between two non-space characters up to the next such one): no pre-token and no added token crosses such a place, so the ids of the text
-are those of its units, and units repeat.
+Tokens are those of a `tokenizers` file without special tokens, then one end id. The texts of a batch are encoded together (`bytepairs.py`), each distinct pre-token once. What that
+leaves out is encoded in units (from a single space that stands between two non-space characters up to the next such one), and so is all text by any file other than plain byte-level
+pairs: no pre-token and no added token crosses such a place, so the ids of the text are those of its units, and units repeat.
 
 balance: there are as many step groups as the bytes of all texts ask for at about `step_tokens` tokens each (one scan counts them). The sequences of each tier are dealt to all
 groups in turn, in each task from a start of its own, so that every group has the same share of each tier from every task: groups differ by a sequence for each task and tier at most.
@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.bytepairs import Merges, encode_all
 from glyphmill.llm.common import forget_others, give_back, memos, small_batches, with_text
 
 TIERS = (2048, 1024, 512, 256)
@@ -74,6 +76,7 @@ class UnitEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.merges = Merges.of(Path(path).read_text("utf-8"), BYTE_CHARS)
         give_back()  # what reading the file took
 
     @classmethod
@@ -134,6 +137,12 @@ class UnitEncoder:
                 young[unit] = ids
         return (self.whole(first) if first else b"") + b"".join(found)
 
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a column; null counts as empty."""
+        if self.merges is None:
+            return [self.encode(t or "") for t in column.to_pylist()]
+        return encode_all(column, self.merges, self.encode)
+
 
 class Packer:
     """Packs pieces (document, start, length) of one task; sequences leave as soon as they are full."""
@@ -250,8 +259,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
         for batch in batches:
             first = number
             id_arrow = batch.schema.field("doc_id").type
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text")), strict=True):
                 ids += end
                 tokens = len(ids) // 4
                 held[number] = [doc_id, ids, 0, tokens, tokens]
