@@ -44,10 +44,15 @@ def word_offsets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return split.withColumn("offset", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
 
 
-def log_elapsed(df: DataFrame, run: str, ts: str) -> DataFrame:
-    """elapsed: seconds since the run's first entry."""
-    seconds = F.col(ts).cast("timestamp").cast("double")
-    return df.withColumn("elapsed", F.round(seconds - F.min(seconds).over(W.partitionBy(run)), 3))
+def log_elapsed(df: DataFrame, run: str, ts: str, places: int | None = 3) -> DataFrame:
+    """elapsed: seconds since the run's first entry, rounded (half up) unless places is None. Times without a zone are taken as they are, whatever the session's zone."""
+    at = F.col(ts)
+    if dict(df.dtypes)[ts] == "timestamp_ntz":  # a cast to timestamp would read it in the session's zone, whose clock may be put forward and back
+        seconds = (at - F.lit("1970-01-01").cast("timestamp_ntz")).cast("decimal(20,6)").cast("double")
+    else:
+        seconds = at.cast("timestamp").cast("double")
+    since = seconds - F.min(seconds).over(W.partitionBy(run))
+    return df.withColumn("elapsed", since if places is None else F.round(since, places))
 
 
 def synthesized_line(words: DataFrame, line: str, order: str, width: str, height: str, gap: int = 20, spread: int = 31, seed: int = 42) -> DataFrame:

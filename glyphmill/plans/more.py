@@ -115,7 +115,7 @@ def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT line, count(*) AS n FROM (SELECT format('[+{:.3f}s] {} {}: ', epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)), CASE WHEN event_id % 9 = 0 THEN 'WARNING' ELSE 'INFO' END, event_type) || user_id AS line FROM events) GROUP BY 1")
 def log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, sf_dir, "log")
-    rows = lines.log_elapsed(table(spark, sf_dir, "events"), "user_id", "ts")
+    rows = lines.log_elapsed(table(spark, sf_dir, "events"), "user_id", "ts", places=None)
     rows = rows.select("elapsed", F.when(F.col("event_id") % 9 == 0, "warning").otherwise("info").alias("level"), F.col("event_type").alias("stage"), F.col("user_id").cast("string").alias("message"))
     writers.lines(writers.log_lines(rows), path, "line")
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))

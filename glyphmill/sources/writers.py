@@ -47,8 +47,9 @@ def tab_pairs(df: DataFrame, path: str, file: str = "file", text: str = "latex")
 
 
 def log_lines(df: DataFrame) -> DataFrame:
-    """(line): `[+elapsed] LEVEL stage: message` of log rows with elapsed seconds."""
-    return df.select(F.format_string("[+%.3fs] %s %s: %s", F.col("elapsed").cast("double"), F.upper("level"), "stage", "message").alias("line"))
+    """(line): `[+elapsed] LEVEL stage: message` of log rows with elapsed seconds, which should come unrounded: to three places by their binary value, ties to even, as C's %.3f (Java's rounds ties up)."""
+    elapsed = F.call_function("format_number", F.col("elapsed").cast("double"), F.lit("0.000"))
+    return df.select(F.format_string("[+%ss] %s %s: %s", elapsed, F.upper("level"), "stage", "message").alias("line"))
 
 
 def report(status: DataFrame, path: str) -> None:

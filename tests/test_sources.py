@@ -3,9 +3,12 @@ import struct
 import time
 import zlib
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import images as K
+from glyphmill.plans import catalogue, more  # noqa: F401
 from glyphmill.sources import readers as S
 from glyphmill.sources import synthetic, writers
 from glyphmill.streaming import logs
@@ -113,3 +116,18 @@ def test_jobs(spark, tmp_path):
     ids = lambda rows, schema: spark.createDataFrame(rows, schema)
     states = logs.job_states(ids([(1,), (2,), (3,), (4,)], "job_id int"), ids([(1, 5.0), (2, 700.0), (3, 1.0)], "job_id int, seconds double"), ids([(3, None)], "job_id int, error string"))
     assert {r.job_id: r.state for r in states.collect()} == {1: "processing", 2: "failed", 3: "completed", 4: "queued"}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_log_lines_round_ties_as_the_statement_does(spark, tmp_path, zone):
+    """Elapsed times halfway between two milliseconds, and a night in which the session's clock is put forward."""
+    con = duckdb.connect()
+    con.execute("create table events as select k as event_id, timestamp '2024-03-31 01:30:00.25' + to_microseconds(62500 * k) + to_hours(k::int) as ts, 7 as user_id, 'view' as event_type from range(32) r(k)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = sorted(tuple(r) for r in catalogue.QUERIES["log_file"](spark, str(tmp_path)).select("line", "n").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got == sorted(con.execute(f"select line, n from ({catalogue.ORACLE['log_file']})").fetchall())
