@@ -10,26 +10,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import distance as D
+from glyphmill.session import staged
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, ranges: int = 1024) -> DataFrame:
     """(keys, median): the upper median by ranks, without gathering a group in one place.
 
     Each group's span from least to most is cut in ranges; their counts (at most `ranges` rows for each group) tell the one in which the middle lies, and only
-    the distinct values of that range are ranked."""
+    the distinct values of that range are ranked. df is read four times: a costly one should be staged before."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     one = keys or ["_all"]
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in one])
     span = rows.groupBy(*one).agg(F.min("_v").cast("double").alias("_low"), F.max("_v").cast("double").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    known = (lambda df: df) if keys else F.broadcast  # without keys one row
     wide = F.col("_high") - F.col("_low")
     place = F.when(wide > 0, F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_low")) / wide * ranges))).otherwise(0)
-    ranged = rows.alias("r").join(span.alias("s"), same("r", "s")).select("r.*", "_n", place.alias("_range"))
+    ranged = rows.alias("r").join(known(span.alias("s")), same("r", "s")).select("r.*", "_n", place.alias("_range"))
     counts = ranged.groupBy(*one, "_range").agg(F.count(F.lit(1)).alias("_in"), F.first("_n").alias("_n"))
     upto = counts.withColumn("_upto", F.sum("_in").over(W.partitionBy(*one).orderBy("_range")))
     middle = upto.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*one).agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_in")).alias("_before"), "_n"), "_range").alias("_m"))
-    inside = ranged.alias("r").join(middle.alias("m"), same("r", "m") & (F.col("_range") == F.col("_m._range"))).select("r.*", F.col("_m._before").alias("_before"))
+    inside = ranged.alias("r").join(known(middle.alias("m")), same("r", "m") & (F.col("_range") == F.col("_m._range"))).select("r.*", F.col("_m._before").alias("_before"))
     ranked = inside.groupBy(*one, "_v", "_before", "_n").agg(F.count(F.lit(1)).alias("_k"))
     ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_k").over(W.partitionBy(*one).orderBy("_v")))
     return ranked.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*one).agg(F.min("_v").alias("median")).select(*keys, "median")
@@ -42,6 +44,7 @@ def pairs_with_rates(pairs: DataFrame, prediction: str = "prediction", reference
 
 def corpus_summary(rated: DataFrame) -> DataFrame:
     """One row: means, upper medians, exact rate and n; zeros when empty."""
+    rated = staged(rated.select("cer", "wer", "exact"), "rates")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     means = rated.agg(zero(F.avg("cer")).alias("mean_cer"), zero(F.avg("wer")).alias("mean_wer"), zero(F.avg(F.col("exact").cast("int"))).alias("exact_rate"), F.count(F.lit(1)).alias("n"))
     for name in ("cer", "wer"):
@@ -61,9 +64,10 @@ def math_summary(pairs: DataFrame, prediction: str = "prediction", reference: st
     p, r = D.latex_tokens(F.col(prediction)), D.latex_tokens(F.col(reference))
     rows = pairs.select(p.alias("p"), r.alias("r"), D.exact_expression(F.col(prediction), F.col(reference)).alias("exact"))
     rows = rows.withColumn("edits", D.sequence_distance(F.col("p"), F.col("r"))).withColumn("rate", D.normalized_distance(F.col("edits"), F.size("r"), F.size("p")))
-    micro = 1.0 - F.try_divide(F.sum("edits"), F.sum(F.size("r")))
+    rows = staged(rows.select("rate", "edits", F.size("r").alias("tokens"), "exact"), "rates")
+    micro = 1.0 - F.try_divide(F.sum("edits"), F.sum("tokens"))
     middle = upper_median(rows, [], "rate").agg(F.coalesce(F.min("median"), F.lit(0.0)).alias("median_distance"))
-    return middle.crossJoin(rows.agg(F.avg("rate").alias("mean_distance"), F.sum("edits").alias("edits"), F.sum(F.size("r")).alias("tokens"), F.coalesce(micro, F.lit(0.0)).alias("micro_accuracy"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.count(F.lit(1)).alias("n")))  # one row each
+    return middle.crossJoin(rows.agg(F.avg("rate").alias("mean_distance"), F.sum("edits").alias("edits"), F.sum("tokens").alias("tokens"), F.coalesce(micro, F.lit(0.0)).alias("micro_accuracy"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.count(F.lit(1)).alias("n")))  # one row each
 
 
 def compare_engines(samples: DataFrame, engines: list[str] | None = None) -> DataFrame:

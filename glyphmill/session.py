@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="glyphmill-")
     return _own_folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what several later steps read is computed once. Only for tables of a few narrow columns; they stay there under names of their own."""
+    path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
