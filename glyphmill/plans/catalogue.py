@@ -18,7 +18,7 @@ from glyphmill.functions import routing as R
 from glyphmill.functions import text as X
 from glyphmill.operators import decoding, documents, layout, lexicon, lines, manifest, metrics, recognizers, spans
 from glyphmill.operators.arithmetic import arithmetic_results
-from glyphmill.session import table
+from glyphmill.session import staged, table
 from glyphmill.streaming import logs
 
 QUERIES: dict = {}
@@ -182,6 +182,7 @@ def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r = F.col("prediction"), F.col("reference")
     rated = pairs(spark, sf_dir).select(D.cer(p, r).alias("cer"), (D.stripped(p) == D.stripped(r)).alias("exact"))
+    rated = staged(rated, "rates")
     middle = metrics.upper_median(rated, [], "cer")
     means = rated.agg(F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(F.avg(F.col("exact").cast("int")), 6).alias("exact_rate"), F.count(F.lit(1)).alias("n"))
     return means.crossJoin(middle.agg(F.round(F.min("median"), 6).alias("median_cer"))).select("mean_cer", "median_cer", "exact_rate", "n")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import distance as D
 from glyphmill.operators import decoding, documents, images, layout, lexicon, lines, manifest, metrics, recognizers, spans
+from glyphmill.plans import catalogue
 
 
 def boxes(spark, rows):
@@ -153,7 +154,7 @@ def test_synthesized_line(spark):
     assert a.x == 0 and 30 <= b.x <= 60 and (a.y, b.y) == (2, 0) and a.canvas_width == b.x + 20
 
 
-def test_summaries_rate_each_pair_once(spark):
+def test_summaries_rate_each_pair_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
     @F.udf("string")
@@ -164,12 +165,15 @@ def test_summaries_rate_each_pair_once(spark):
     pairs = spark.range(60).select(counted(F.concat(F.lit("x + "), F.col("id").cast("string"))).alias("prediction"), F.lit("x + 7").alias("reference"))
     got = metrics.math_summary(pairs).first()
     assert (got.n, got.tokens, got.edits, got.median_distance, seen.value) == (60, 180, 59, 1 / 3, 60)
+    monkeypatch.setattr(catalogue, "pairs", lambda spark, sf_dir: pairs)
+    got = catalogue.QUERIES["cer_summary"](spark, "").first()
+    assert (got.n, seen.value) == (60, 120)
     got = metrics.corpus_summary(metrics.pairs_with_rates(pairs)).first()
-    assert (got.n, got.median_wer, seen.value) == (60, 1 / 3, 120)
+    assert (got.n, got.median_wer, seen.value) == (60, 1 / 3, 180)
 
 
 def test_distance_of_sequences_of_many_kinds(spark):
     """More distinct elements than there are private characters, null arrays, null elements, no elements."""
     a, b = F.transform(F.sequence(F.lit(1), F.lit(90000)), lambda i: i.cast("string")), F.transform(F.sequence(F.lit(2), F.lit(90001)), lambda i: i.cast("string"))
     rows = spark.range(1).select(F.explode(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(F.lit(None).alias("a"), b.alias("b")), F.struct(F.array().cast("array<string>").alias("a"), F.array(F.lit("x"), F.lit(None)).alias("b")), F.struct(F.array(F.lit(None).cast("string")).alias("a"), F.array(F.lit("x"), F.lit(None)).alias("b")))).alias("r"))
-    assert [r[0] for r in rows.select(D.sequence_distance("r.a", "r.b")).collect()] == [2, None, 2, 1]
+    assert [r[0] for r in rows.select(D.sequence_distance(F.col("r.a"), F.col("r.b"))).collect()] == [2, None, 2, 1]
