@@ -117,7 +117,7 @@ def unique_regions(df: DataFrame) -> DataFrame:
 
 def with_page_fallback(regions: DataFrame, pages: DataFrame, label: str = "text", confidence: float = 1.0) -> DataFrame:
     """Regions, and the whole page as one for each page (page_id, width, height) that has none."""
-    bare = pages.join(regions.select("page_id").distinct(), "page_id", "left_anti")
+    bare = pages.join(regions.select("page_id"), "page_id", "left_anti")  # not made distinct: regions come sorted by page, so the join has nothing to hash or sort on that side
     whole = bare.select("page_id", F.lit(label).alias("label"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").cast("int").alias("x2"), F.col("height").cast("int").alias("y2"), F.lit(1).alias("pos"), F.lit(confidence).alias("confidence"))
     return regions.unionByName(whole, allowMissingColumns=True)
 

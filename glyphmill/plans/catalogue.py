@@ -66,9 +66,21 @@ def words_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{S}+'), lambda w: w <> '')"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df by the key in all shuffle partitions: the exchange that the next step needs anyway, in as many tasks as its work per row (not its few bytes) asks for."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+#: Rows that a task gets, where it sorts them or keeps whole groups in memory.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, key: str, rows: int = 0) -> DataFrame:
+    """df by the key in all shuffle partitions: the exchange that the next step needs anyway, in as many tasks as its work per row (not its few bytes) asks for.
+
+    In more of them, where these would get more than TASK_ROWS of the table's rows each: a task's memory then doesn't grow with the table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), key)
+
+
+def bounded(df: DataFrame, key: str) -> DataFrame:
+    """A table (its rows are counted: of Parquet, in the footers) by the key as spread does; as it is where the session's own partitions are enough."""
+    rows = df.count()
+    return df if rows <= TASK_ROWS else spread(df, key, rows)
 
 
 # --- inputs -----------------------------------------------------------------------------------------------------------
@@ -114,7 +126,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, pos, corners, class_id, confidence): a box for each line item."""
     i = F.col("l_linenumber")
     x, y = F.floor(F.col("l_quantity") * 10).cast("int"), (F.floor("l_extendedprice") % 800).cast("int")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("pos"), x.alias("x1"), y.alias("y1"), (x + 40 + i * 5).alias("x2"), (y + 15 + i).alias("y2"), (F.col("l_partkey") % 2).cast("int").alias("class_id"), F.round(1 - F.col("l_discount") * 5, 4).alias("confidence"), F.concat(F.lit("w"), F.col("l_partkey")).alias("text"))
+    rows = bounded(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return rows.select(F.col("l_orderkey").alias("page_id"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("pos"), x.alias("x1"), y.alias("y1"), (x + 40 + i * 5).alias("x2"), (y + 15 + i).alias("y2"), (F.col("l_partkey") % 2).cast("int").alias("class_id"), F.round(1 - F.col("l_discount") * 5, 4).alias("confidence"), F.concat(F.lit("w"), F.col("l_partkey")).alias("text"))
 
 
 BOXES = """SELECT page_id, pos, x1, y1, x1 + 40 + i * 5 AS x2, y1 + 15 + i AS y2, class_id, confidence, text FROM (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import distance as D
 from glyphmill.operators import decoding, documents, images, layout, lexicon, lines, manifest, metrics, recognizers, spans
-from glyphmill.plans import catalogue
+from glyphmill.plans import catalogue, more  # noqa: F401
 
 
 def boxes(spark, rows):
@@ -177,3 +177,17 @@ def test_distance_of_sequences_of_many_kinds(spark):
     a, b = F.transform(F.sequence(F.lit(1), F.lit(90000)), lambda i: i.cast("string")), F.transform(F.sequence(F.lit(2), F.lit(90001)), lambda i: i.cast("string"))
     rows = spark.range(1).select(F.explode(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(F.lit(None).alias("a"), b.alias("b")), F.struct(F.array().cast("array<string>").alias("a"), F.array(F.lit("x"), F.lit(None)).alias("b")), F.struct(F.array(F.lit(None).cast("string")).alias("a"), F.array(F.lit("x"), F.lit(None)).alias("b")))).alias("r"))
     assert [r[0] for r in rows.select(D.sequence_distance(F.col("r.a"), F.col("r.b"))).collect()] == [2, None, 2, 1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_a_task_sorts_a_bounded_part_of_page_regions(spark, monkeypatch):
+    """More rows make more tasks, not larger ones; the join with the pages hashes nothing; the rows stay the same."""
+    few = sorted(map(tuple, catalogue.QUERIES["page_regions"](spark, SF).collect()))
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 500, raising=False)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert catalogue.boxes(spark, SF).rdd.getNumPartitions() == n > 4
+    many = catalogue.QUERIES["page_regions"](spark, SF)
+    assert "HashAggregate" not in many._jdf.queryExecution().toString()
+    assert sorted(map(tuple, many.collect())) == few
