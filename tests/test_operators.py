@@ -191,3 +191,11 @@ def test_a_task_sorts_a_bounded_part_of_page_regions(spark, monkeypatch):
     many = catalogue.QUERIES["page_regions"](spark, SF)
     assert "HashAggregate" not in many._jdf.queryExecution().toString()
     assert sorted(map(tuple, many.collect())) == few
+
+
+def test_reconstructed_pages_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    few = sorted(map(tuple, catalogue.QUERIES["reconstruct_lines"](spark, SF).collect()))
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 500, raising=False)
+    many = catalogue.QUERIES["reconstruct_lines"](spark, SF)
+    assert many.rdd.getNumPartitions() > 4  # no later step gathers the rows in the session's few partitions
+    assert sorted(map(tuple, many.collect())) == few
